@@ -6,10 +6,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlog.llm import queries as q
+from lumenlog.llm import bpe, exact_dedup, mixing, order_minhash, quality
 from lumenlog.llm._runtime import ensure_checkpoint_dir
+from lumenlog.llm.queries import tokenizer_path
 
-STAGES = []
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rates above the lowest grade; it is fitted on the labelled documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep(docs, quality.train(docs, quality.grades_of(labels)))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with equal text."""
+    return exact_dedup.keep_one(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return order_minhash.keep_one(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sample with target shares of sources, languages and topics."""
+    return mixing.keep_sample(docs)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the tokens and of the decoded text of each document."""
+    return bpe.encode_decode(docs, tokenizer_path(), with_ids=False)
+
+
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("tokens", tokens_stage)]
 
 #: SQL cannot express the classifier, the sketches' alignment or the tokens; tests compare each stage with brute force.
 ORACLE_SQL = None

@@ -19,14 +19,14 @@ from ._runtime import cut, slices
 from ._sketch import cells_for, may_repeat, repeated
 
 _WHITE = b" \t\n\x0b\x0c\r"
-_ROWS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+_ROWS = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         texts = batch.column("text").to_pylist()
         digests = [hashlib.sha256((t or "").encode().translate(None, _WHITE)).digest() for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(digests, pa.binary())], schema=_ROWS)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(digests, pa.binary())], schema=_ROWS)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -34,17 +34,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.frombuffer(b"".join(d[:8] for d in batch.column("digest").to_pylist()), dtype=np.uint64)
 
 
-def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents whose texts are equal without their ASCII white space; one row for each input row.
-
-    Returns id_col, keep_id, group_size, kept and text_sha256 (of the text without white space). The row with the most code
-    points in the original text, then the smallest id, stays. Null text is empty, and empty texts are one group. Null ids lose
-    to all others; a group of null ids only has a null keep_id. Rows that share an id and a text are told apart: one of them is
-    kept. An empty table gives an empty table. Ids are longs.
-    """
-    spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(docs.mapInArrow(_digests, "id long, n long, digest binary"))
+def _grouped(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, keep_id, group_size, kept, twin, digest) of each row; h hashes the text, twin: dropped, but equal to the row that stays."""
+    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+    rows = cut(docs.mapInArrow(_digests, "id long, h long, n long, digest binary"))
     cells = cells_for(rows.count(), 8)
     seen = repeated(rows.select("digest"), _keys, cells)
 
@@ -53,34 +46,44 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             for keys in _keys(iter([batch])):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may_repeat(seen.value, keys, cells))], names=[*batch.schema.names, "again"])
 
-    marked = cut(rows.mapInArrow(flagged, "id long, n long, digest binary, again boolean"))
-    alone = marked.where("not again").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    # One row in each set of equal (digest, id, n) rows is numbered 1; ties are equal rows, so the choice does not show.
-    rest = marked.where("again").select("id", "n", "digest")
-    counted = rest.groupBy("digest", "id", "n").agg(F.count(F.lit(1)).alias("copies"))
-    order = F.struct(F.col("n").alias("n"), F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("id"))
+    marked = cut(rows.mapInArrow(flagged, "id long, h long, n long, digest binary, again boolean"))
+    alone = marked.where("not again").select("id", "h", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(False).alias("twin"), "digest")
+    # Of fully equal rows (digest, id, n, h) any one can stay: they are counted first and numbered afterwards.
+    counted = marked.where("again").groupBy("digest", "id", "n", "h").agg(F.count(F.lit(1)).alias("copies"))
+    order = F.struct(F.col("n").alias("n"), F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("id"), F.col("h").alias("h"))
     best = counted.groupBy("digest").agg(F.sum("copies").alias("group_size"), F.max(order).alias("best"))
-    best = best.select("digest", "group_size", (-F.col("best.id")).alias("keep_id"), F.col("best.n").alias("keep_n"))
-    joined = counted.join(best, "digest").withColumn("wins", (F.col("n") == F.col("keep_n")) & F.col("id").eqNullSafe(F.col("keep_id")))
-    again = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("id", "keep_id", "group_size", (F.col("wins") & (F.col("copy") == 1)).alias("kept"), "digest")
-    out = alone.unionByName(again)
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    best = best.select("digest", "group_size", (-F.col("best.id")).alias("keep_id"), F.col("best.n").alias("keep_n"), F.col("best.h").alias("keep_h"))
+    same = (F.col("n") == F.col("keep_n")) & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))
+    joined = counted.join(best, "digest").withColumn("same", same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    kept = F.col("same") & (F.col("copy") == 1)
+    again = joined.select("id", "h", "keep_id", "group_size", kept.alias("kept"), (F.col("same") & ~kept).alias("twin"), "digest")
+    return alone.unionByName(again)
+
+
+def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of documents whose texts are equal without their ASCII white space; one row for each input row.
+
+    Returns id_col, keep_id, group_size, kept and text_sha256 (of the text without white space). The row with the most code
+    points in the original text, then the smallest id, stays. Null text is empty, and empty texts are one group. Null ids lose
+    to all others; a group of null ids only has a null keep_id. Of rows that share an id and have equal texts one is kept. An
+    empty table gives an empty table. Ids are longs.
+    """
+    return _grouped(documents, id_col, text_col).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents without the rows that exact_groups drops; all columns stay.
 
-    Dropped ids are taken out of documents with an anti join. Of fully repeated rows with one id, all copies but one go
-    as well, in the order that Spark meets them.
+    Rows are told apart by id and text. Of rows equal in both, all but one go, in the order that Spark meets them.
     """
-    groups = exact_groups(documents, id_col, text_col)
-    dropped = groups.where("not kept").select(F.col(id_col).alias("_dropped"), (F.col("keep_id").eqNullSafe(F.col(id_col))).alias("_twin"))
-    others = dropped.where("not _twin").select("_dropped").distinct()
-    kept = documents.join(others, documents[id_col].cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
-    twins = dropped.where("_twin").select("_dropped").distinct()
-    plain = kept.join(twins, kept[id_col].cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
-    doubled = kept.join(twins, kept[id_col].cast("long").eqNullSafe(F.col("_dropped")), "left_semi")
-    return plain.unionByName(doubled.dropDuplicates([id_col]))
+    rows = _grouped(documents, id_col, text_col).where("not kept")
+    keyed = documents.withColumn("_lumenlog_id", F.col(id_col).cast("long")).withColumn("_lumenlog_h", F.xxhash64(F.col(text_col).cast("string")))
+    gone = rows.groupBy(F.col("id").alias("_lumenlog_a"), F.col("h").alias("_lumenlog_b")).agg(F.max("twin").alias("_lumenlog_twin"))
+    same = F.col("_lumenlog_id").eqNullSafe(F.col("_lumenlog_a")) & (F.col("_lumenlog_h") == F.col("_lumenlog_b"))
+    marked = keyed.join(gone.hint("shuffle_hash"), same, "left")
+    plain = marked.where("_lumenlog_twin is null").select(*(F.col(f"`{c}`") for c in documents.columns))
+    doubled = marked.where("_lumenlog_twin").dropDuplicates(["_lumenlog_id", "_lumenlog_h"]).select(*(F.col(f"`{c}`") for c in documents.columns))
+    return plain.unionByName(doubled)
 
 
 ORACLE = r"""

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, fingerprints, html_extract, mixing, order_minhash, quality, substring_dedup, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def tokenizer_path() -> str:
     """The vocabulary that the queries encode with; operators take any path."""
     import public_tokenizers
@@ -32,9 +36,35 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeated_bytes(_documents(spark, sf_dir)))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    return toxicity.classify(documents, toxicity.train(documents, _labels(spark, sf_dir)))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_with_edits(_documents(spark, sf_dir))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    return quality.score(documents, quality.train(documents, quality.grades_of(_labels(spark, sf_dir))))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_suffix_dedup, op8_exact_dedup)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_documents(spark, sf_dir))
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_substring_dedup, op3_suffix_dedup, op4_toxicity, op5_html_extraction, op6_fingerprints, op7_quality, op8_exact_dedup, op9_mixing, op10_order_minhash)}
 ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
