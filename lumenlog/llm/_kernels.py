@@ -18,8 +18,8 @@ _MAX = U(0xFFFFFFFFFFFFFFFF)
 BASES = (U(0x9E3779B97F4A7C1B), U(0xD1342543DE82EF9B))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Block of text handled at once; longer documents are cut into overlapping blocks.
-BLOCK = 1 << 19
+#: Units handled at once, so that their arrays stay in the processor's cache; longer documents are cut into overlapping blocks.
+BLOCK = 1 << 16
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -137,21 +137,25 @@ def byte_blocks(column: pa.Array, halo: int, lanes: int = 1) -> Iterator[tuple[B
         yield block, data
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
+def prefix_sums(values: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """What range_hashes needs of an array."""
     base = BASES[lane]
-    powers = np.full(len(data), base, dtype=U)
-    if len(powers):
-        powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    sums = np.empty(len(data) + 1, dtype=U)
-    sums[0] = 0
-    np.cumsum(_BYTES[lane][data] * powers, out=sums[1:])
-    inverse = U(pow(int(base), -1, 1 << 64))
-    back = np.full(len(data), inverse, dtype=U)
-    if len(back):
-        back[0] = 1
-    back = np.multiply.accumulate(back)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U), lane)
+    powers = np.full(len(values), base, dtype=U)
+    back = np.full(len(values), U(pow(int(base), -1, 1 << 64)), dtype=U)
+    powers[:1] = back[:1] = 1
+    sums = np.zeros(len(values) + 1, dtype=U)
+    np.cumsum(values * np.multiply.accumulate(powers), out=sums[1:])
+    return sums, np.multiply.accumulate(back)
+
+
+def range_hashes(prefix: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of values[start:end], which may differ in length."""
+    sums, back = prefix
+    return (sums[ends] - sums[starts]) * back[starts]
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
+    return mix(range_hashes(prefix_sums(_BYTES[lane][data], lane), starts, ends) + (ends - starts).astype(U), lane)
 
 
 def word_bounds(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,15 +221,14 @@ def anchors(block: Block, gram: int, width: int, own: bool = True) -> tuple[np.n
     if n < width:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=U)
     span = width - gram + 1
-    end = np.repeat(block.end, block.end - block.start)
     hashes = np.full(n, _MAX, dtype=U)
     grams = mix(rolling(values, gram), 7)
-    place = np.arange(n, dtype=np.int64)
-    inside = place[: len(grams)] + gram <= end[: len(grams)]
-    hashes[: len(grams)] = np.where(inside, grams, _MAX)
+    hashes[: len(grams)] = grams
+    for end in block.end.tolist():  # grams and windows that would cross the end of their document
+        hashes[max(0, end - gram + 1) : end] = _MAX
     least = _sliding(hashes, span, np.minimum)
-    fits = place[: len(least)] + width <= end[: len(least)]
-    least = np.where(fits, least, U(0))
+    for end in block.end.tolist():
+        least[max(0, end - width + 1) : end] = 0
     padded = np.zeros(n + span - 1, dtype=U)
     padded[span - 1 : span - 1 + len(least)] = least
     top = _sliding(padded, span, np.maximum)[:n]
