@@ -27,6 +27,7 @@ from ._kernels import U, mix, rolling, word_hashes
 from ._runtime import cut, doc_key, slices
 
 SHINGLE, SKETCHES, TUPLE = 5, 16, 3
+_SEEDS = mix(np.arange(SKETCHES, dtype=U), 20)
 #: Pairs with one bucket's smallest document that a task gets together.
 _SALT_ROWS = 500
 
@@ -54,16 +55,17 @@ def signatures(labelled: np.ndarray) -> np.ndarray:
     if not n:
         return np.empty(0, dtype=U)
     k = min(TUPLE, n)
-    out = np.empty(SKETCHES, dtype=U)
-    for j in range(SKETCHES):
-        hashed = mix(labelled, 200 + j)
-        at = np.argpartition(hashed, k - 1)[:k] if k < n else np.arange(n)
-        at.sort()
-        value = U(j)
-        for x in labelled[at].tolist():
-            value = U(((int(value) ^ x) * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        out[j] = value
-    return mix(out, 23)
+    rows = max(1, min(SKETCHES, (1 << 20) // n))  # hash functions at once: a long document takes them in turns
+    parts = []
+    for first in range(0, SKETCHES, rows):
+        hashed = mix(labelled[None, :] ^ _SEEDS[first : first + rows, None], 200)
+        at = np.argpartition(hashed, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(hashed), 1))
+        at.sort(axis=1)
+        parts.append(labelled[at])
+    out = np.arange(SKETCHES, dtype=U)
+    for column in np.concatenate(parts).T:
+        out = mix(out ^ column, 23)
+    return out
 
 
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
