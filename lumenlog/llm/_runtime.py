@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -28,10 +29,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumenlog-checkpoint-"))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffles, broadcasts and checkpoints that nothing refers to any more.
+
+    The cleaner follows the driver's garbage collector, which a driver with little to do would not run for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor loses nothing."""
+    """Materialise df in the shared checkpoint folder, so that a lost executor loses nothing, and drop what led to it."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._kernels import U, mix
+from ._runtime import release
 
 #: Hash rows of a sketch; most cells in a row.
 ROWS = 2
@@ -119,6 +120,8 @@ def repeated(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterat
     size = _SEGMENT // 8
     for row in done.toLocalIterator():
         whole[row.segment * size : (row.segment + 1) * size] = row.bits
+    del parts, level, done
+    release(df.sparkSession)
     return df.sparkSession.sparkContext.broadcast(bytes(whole))
 
 
