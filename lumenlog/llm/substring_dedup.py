@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._kernels import Block, anchors, rolling, word_blocks, word_hashes
-from ._runtime import doc_key, slices
+from ._runtime import cut, doc_key, slices
 from ._sketch import cells_for, may_repeat, repeated
 
 _WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("at", pa.int32())])
@@ -93,7 +93,7 @@ def remove_repeated_windows(documents: DataFrame, width: int = 50, id_col: str =
                     )
 
     windows = docs.select("doc", "text").mapInArrow(candidates, "h1 long, h2 long, doc long, at int")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    first = cut(windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"))
     covered = windows.join(first, ["h1", "h2"]).where("doc > first").groupBy("doc").agg(F.collect_list("at").alias("starts"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
