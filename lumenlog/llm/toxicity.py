@@ -27,12 +27,14 @@ FOLDS = 5
 CATEGORIES = ("toxic", "severe", "toxic_spam")
 
 
-def _select(rows: np.ndarray, features: np.ndarray, y: np.ndarray, count: int) -> np.ndarray:
+def _select(parts: list[np.ndarray], y: np.ndarray, count: int) -> np.ndarray:
     """The features that tell the class best: z score times log odds, among those seen in four positives or more."""
     size = 1 << BITS
-    hit = y[rows] == 1
+    seen = np.zeros((2, size), dtype=np.int32)
+    for own, label in zip(parts, y.tolist(), strict=True):
+        seen[label, own] += 1  # a document has each feature once
+    b, a = seen
     p, n = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-    a, b = np.bincount(features[hit], minlength=size), np.bincount(features[~hit], minlength=size)
     u, v = (a + 0.5) / (p + 1), (b + 0.5) / (n + 1)
     gain = (u - v) / np.sqrt(u * (1 - u) / p + v * (1 - v) / n) * np.log(u / v)
     gain[a < 4] = 0
@@ -42,11 +44,11 @@ def _select(rows: np.ndarray, features: np.ndarray, y: np.ndarray, count: int) -
 
 def _chain(x: np.ndarray, targets: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
     """Weights of each category's model: features, then the probabilities of the categories before."""
-    models, earlier = [], np.empty((len(x), 0))
+    models, earlier = [], np.empty((len(x), 0), dtype=np.float32)
     for k in range(targets.shape[1]):
         inputs = np.hstack([x, earlier])
         models.append(logistic(inputs, targets[:, k]))
-        out_of_fold = np.zeros(len(x))
+        out_of_fold = np.zeros(len(x), dtype=np.float32)
         for fold in np.unique(folds):
             held = folds == fold
             rest = logistic(inputs[~held], targets[~held, k]) if (~held).any() else np.zeros(inputs.shape[1] + 1)
@@ -81,19 +83,20 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     if not held or y.min() == y.max():
         return None
     parts = [np.frombuffer(r.x, dtype=np.int32) for r in held]
-    rows = np.repeat(np.arange(len(held), dtype=np.int32), [len(p) for p in parts])
-    hashed = np.concatenate(parts)
-    best = _select(rows, hashed, y, FEATURES)
+    best = _select(parts, y, FEATURES)
     slots = np.full(1 << BITS, -1, dtype=np.int32)
     slots[best] = np.arange(len(best))
-    found = slots[hashed]
     x = np.zeros((len(held), len(best)), dtype=np.float32)
-    x[rows[found >= 0], found[found >= 0]] = 1
+    for row, own in zip(x, parts, strict=True):
+        found = slots[own]
+        row[found[found >= 0]] = 1
+    ids, low = [r.id for r in held], np.array([r.quality for r in held]) == 0
+    del parts, held
     strong = x[:, :100].sum(axis=1)
     severe = (y == 1) & (strong >= max(1.0, np.median(strong[y == 1])))
-    spam = (y == 1) & (np.array([r.quality for r in held]) == 0)
+    spam = (y == 1) & low
     targets = np.stack([y, severe, spam], axis=1).astype(float)
-    folds = np.array([(r.id * 2654435761 >> 7) % FOLDS for r in held])
+    folds = np.array([(i * 2654435761 >> 7) % FOLDS for i in ids])
     models = _chain(x, targets, folds)
     # The sample has more toxic documents than the labels: the first model's constant gets the labels' odds back.
     models[0][-1] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
