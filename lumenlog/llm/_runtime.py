@@ -38,11 +38,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor loses nothing, and drop what led to it."""
-    ensure_checkpoint_dir(df.sparkSession)
+def cut(df: DataFrame, in_loop: bool = False) -> DataFrame:
+    """Materialise df in the shared checkpoint folder, so that a lost executor loses nothing, and drop what led to it.
+
+    A checkpoint keeps the optimiser's size estimate of the plan that it replaces, and an estimate of a join is the product of
+    its sides: in a loop it gets twice the digits in each round, until the driver's heap is full. in_loop drops the estimate.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
-    release(df.sparkSession)
+    if in_loop:
+        jdf = out._jdf
+        out = DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
+    release(spark)
     return out
 
 

@@ -157,7 +157,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round points every node at the least of its neighbours, then of its smaller neighbours; it ends when nothing changes.
     """
-    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), in_loop=True)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -165,7 +165,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = cut(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        edges = cut(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), in_loop=True)
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             return edges.select(F.col("u").alias("doc"), F.col("v").alias("root"))
@@ -221,17 +221,17 @@ def _exact_links(failed: DataFrame, words: DataFrame, threshold: float) -> DataF
     shared = all_shingles.join(common, "shingle").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
     prefix = F.floor((1 - threshold) * F.col("size") + 1e-9).cast("int") + 1 - (F.col("size").cast("int") - F.size("own"))
     buckets = shared.join(sizes, "doc").withColumn("prefix", prefix).where("prefix > 0").select("doc", F.explode(F.expr("slice(own, 1, prefix)")).alias("s")).select("doc", F.col("s.shingle").alias("bucket"))
-    buckets = cut(buckets)
+    buckets = cut(buckets, in_loop=True)
     found = None
     while True:
-        stars = cut(_stars(buckets))
+        stars = cut(_stars(buckets), in_loop=True)
         if stars.isEmpty():
             break
         pairs = stars.select("doc", "center").distinct()
-        checked = cut(_verify(pairs, words, threshold))
+        checked = cut(_verify(pairs, words, threshold), in_loop=True)
         links = checked.where("ok").select("doc", "center")
         found = links if found is None else found.unionByName(links)
-        buckets = cut(stars.join(checked.where("not ok").select("doc", "center"), ["doc", "center"]).select("doc", "bucket"))
+        buckets = cut(stars.join(checked.where("not ok").select("doc", "center"), ["doc", "center"]).select("doc", "bucket"), in_loop=True)
     return found if found is not None else failed.select("doc", F.col("doc").alias("center")).limit(0)
 
 
