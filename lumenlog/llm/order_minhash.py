@@ -7,9 +7,9 @@ documents agree on it if the same shingles are least and stand in the same order
 Similarity of two documents is shared / (all - shared) over labelled shingles, where shared counts those that an alignment
 within a band matches in order. Documents with similarity `threshold` or more are linked, and classes are the connected
 components. Documents with equal words are one node from the start. Buckets of equal signatures are never expanded into
-pairs: each document is aligned with the bucket's smallest one. Documents whose alignment fails go on, exactly, to a prefix
+pairs: each document is aligned with the bucket's smallest one. Where one fails, the bucket's documents go on to an exact prefix
 filter: two documents of similarity t must share one of the first (1 - t) n + 1 shingles in any common order, here
-the rarest first. There the documents that fail against a bucket's smallest one form the next bucket, until none is left.
+the rarest first. Documents of its buckets are aligned, a block at a time, unless links join them already.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._kernels import U, mix, rolling, word_hashes
@@ -30,6 +30,8 @@ SHINGLE, SKETCHES, TUPLE = 5, 16, 3
 _SEEDS = mix(np.arange(SKETCHES, dtype=U), 20)
 #: Pairs with one bucket's smallest document that a task gets together.
 _SALT_ROWS = 500
+#: Documents of a bucket that the first and the later rounds of the exact search align with the rest.
+_FIRST_CENTERS, _MOST_CENTERS = 4, 256
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -193,8 +195,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     words = cut(candidates.mapInArrow(_word_rows, "doc long, words binary")).dropDuplicates(["doc"])
     checked = cut(_verify(stars.select("doc", "center").distinct(), words, threshold))
     links = checked.where("ok").select("doc", "center")
-    failed = stars.join(checked.where("not ok"), ["doc", "center"]).select("doc").distinct()
-    links = links.unionByName(_exact_links(cut(failed), words, threshold))
+    links = links.unionByName(_exact_links(_suspects(stars, checked), words, checked, threshold))
     links = cut(links.distinct())
     roots = components(links, "doc", "center")
     degree = links.select("doc").unionByName(links.select(F.col("center").alias("doc"))).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
@@ -204,8 +205,19 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").alias(id_col), "class_id", F.col("rep").alias("rep_id"), "n_links")
 
 
-def _exact_links(failed: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """Links among documents that failed against the smallest of one of their buckets, by the prefix filter."""
+def _suspects(stars: DataFrame, checked: DataFrame) -> DataFrame:
+    """All documents of the buckets in which one failed against the smallest: it may still be linked to any of the others."""
+    open_buckets = stars.join(checked.where("not ok").select("doc", "center"), ["doc", "center"]).select("bucket").distinct()
+    rows = stars.join(open_buckets, "bucket", "left_semi")
+    return cut(rows.select("doc").unionByName(rows.select(F.col("center").alias("doc"))).distinct())
+
+
+def _exact_links(suspects: DataFrame, words: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
+    """Links that join all linked suspects, by the prefix filter; tried has (doc, center, ok) of the pairs aligned before.
+
+    Each round aligns the smallest documents of each bucket with those of the bucket that no link joins to them yet, and takes
+    them out. Buckets of one class are done. Later rounds take more documents at once, so that rounds stay few.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +225,7 @@ def _exact_links(failed: DataFrame, words: DataFrame, threshold: float) -> DataF
                 own = _unpacked(packed).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc)), pa.array(own)], names=["doc", "shingle"])
 
-    all_shingles = words.join(failed, "doc", "left_semi").mapInArrow(split, "doc long, shingle long")
+    all_shingles = words.join(suspects, "doc", "left_semi").mapInArrow(split, "doc long, shingle long")
     counts = all_shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     common = counts.where("n > 1")
     sizes = all_shingles.groupBy("doc").agg(F.count(F.lit(1)).alias("size"))
@@ -221,18 +233,26 @@ def _exact_links(failed: DataFrame, words: DataFrame, threshold: float) -> DataF
     shared = all_shingles.join(common, "shingle").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
     prefix = F.floor((1 - threshold) * F.col("size") + 1e-9).cast("int") + 1 - (F.col("size").cast("int") - F.size("own"))
     buckets = shared.join(sizes, "doc").withColumn("prefix", prefix).where("prefix > 0").select("doc", F.explode(F.expr("slice(own, 1, prefix)")).alias("s")).select("doc", F.col("s.shingle").alias("bucket"))
-    buckets = cut(buckets, in_loop=True)
-    found = None
+    # One bucket is enough of those with the same documents: they are told by their count and sums of the documents' hashes.
+    named = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("n > 1")
+    buckets = cut(buckets.join(named.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")), "bucket", "left_semi"), in_loop=True)
+    found, at_once = tried.where("ok").select("doc", "center"), _FIRST_CENTERS
     while True:
-        stars = cut(_stars(buckets), in_loop=True)
-        if stars.isEmpty():
-            break
-        pairs = stars.select("doc", "center").distinct()
-        checked = cut(_verify(pairs, words, threshold), in_loop=True)
-        links = checked.where("ok").select("doc", "center")
-        found = links if found is None else found.unionByName(links)
-        buckets = cut(stars.join(checked.where("not ok").select("doc", "center"), ["doc", "center"]).select("doc", "bucket"), in_loop=True)
-    return found if found is not None else failed.select("doc", F.col("doc").alias("center")).limit(0)
+        roots = components(found, "doc", "center").select("doc", "root")
+        members = buckets.join(roots, "doc", "left").select("doc", "bucket", F.coalesce("root", "doc").alias("root"))
+        open_buckets = members.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
+        members = cut(members.join(open_buckets, "bucket", "left_semi"), in_loop=True)
+        if members.isEmpty():
+            return found
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("doc"))
+        centers = cut(members.withColumn("place", place).where(F.col("place") <= at_once).select("bucket", F.col("doc").alias("center"), F.col("root").alias("center_root")), in_loop=True)
+        pairs = members.join(centers, "bucket").where("doc > center and root <> center_root").select("doc", "center").distinct()
+        checked = cut(_verify(cut(pairs.join(tried, ["doc", "center"], "left_anti"), in_loop=True), words, threshold), in_loop=True)
+        tried = cut(tried.unionByName(checked), in_loop=True)
+        found = tried.where("ok").select("doc", "center")
+        done = centers.select("bucket", F.col("center").alias("doc"))
+        buckets = members.select("doc", "bucket").join(done, ["bucket", "doc"], "left_anti")
+        at_once = min(4 * at_once, _MOST_CENTERS)
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:

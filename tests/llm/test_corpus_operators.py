@@ -143,6 +143,21 @@ def test_near_duplicates_behind_a_common_passage(spark):
     assert got == {i: i - i % 2 for i, _ in rows} == order_minhash.brute_force(rows)
 
 
+def test_near_duplicates_keep_links_between_documents_of_which_only_one_is_linked_to_the_smallest(spark):
+    rng = random.Random(11)
+    rows = []
+    for group in range(40):
+        words = [f"g{group}w{rng.randrange(10**6)}" for _ in range(200)]
+        for step in range(12):  # each a little further from the first: only neighbours are similar enough
+            rows.append((len(rows), " ".join(words)))
+            for _ in range(2):
+                words[rng.randrange(200)] = f"e{group}s{rng.randrange(10**6)}"
+    rng.shuffle(rows)
+    rows = [(n, text) for n, (_, text) in enumerate(rows)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == order_minhash.brute_force(rows)
+
+
 def test_components_follow_long_chains(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95)]
     got = {r.doc: r.root for r in order_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
