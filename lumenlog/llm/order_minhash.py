@@ -31,7 +31,7 @@ _SEEDS = mix(np.arange(SKETCHES, dtype=U), 20)
 #: Pairs with one bucket's smallest document that a task gets together.
 _SALT_ROWS = 500
 #: Documents of a bucket that the first and the later rounds of the exact search align with the rest.
-_FIRST_CENTERS, _MOST_CENTERS = 4, 256
+_FIRST_CENTERS, _MOST_CENTERS = 1, 256
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
