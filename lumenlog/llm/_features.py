@@ -94,11 +94,10 @@ def adam(gradient, x: np.ndarray, steps: int = 400, rate: float = 0.05) -> np.nd
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
     """Weights of a logistic regression; the last is the constant, which isn't penalised."""
-    x1 = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    free = np.ones(x1.shape[1])
-    free[-1] = 0
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        return x1.T @ (sigmoid(x1 @ w) - y) / len(y) + l2 * free * w / len(y)
+        # Products in the type of x: a wider vector would make numpy copy all of x in each step.
+        error = sigmoid((x @ w[:-1].astype(x.dtype)).astype(np.float64) + w[-1]) - y
+        return np.append(x.T @ error.astype(x.dtype) + l2 * w[:-1], error.sum()) / len(y)
 
-    return adam(gradient, np.zeros(x1.shape[1]))
+    return adam(gradient, np.zeros(x.shape[1] + 1))
