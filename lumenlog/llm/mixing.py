@@ -1,13 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of source, language and topic. Raking scales the cells' token weights until the totals of
-each source, each language and each topic have their target shares. A document is then kept with its cell's calibrated
-probability, by a hash of its id. Cells are aggregated over all documents; the raking itself works on the cells only.
+each source, each language and each topic have their target shares, with no probability above 1: cells at 1 stay there and the others are
+raked around them. A document is then kept with its cell's calibrated probability, by a hash of its id. Cells are aggregated over all documents; the raking itself works on the cells only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,10 @@ TOPICS = 8
 #: Cells that are raked on the driver; more are raked by Spark, with the same steps.
 DRIVER_CELLS = 100_000
 DIMENSIONS = ("source", "lang", "topic")
+#: Rounds and relative error at which raking ends, and halvings in the search for the largest share.
+ROUNDS, TOLERANCE, HALVINGS = 200, 1e-6, 10
+FRAME_ROUNDS, FRAME_TOLERANCE = 20, 1e-5
+Sums = Callable[[list[np.ndarray], int, float], "tuple[np.ndarray, np.ndarray] | float"]
 
 
 def topics_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,39 +56,124 @@ def tempered(totals: dict[str, float], exponent: float) -> dict[str, float]:
     return {k: v / whole for k, v in raised.items()}
 
 
-def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
-    """Factor of each cell so that, in each dimension, the share of factor * tokens of each value is its target."""
-    weights = cells.astype(float) / cells.sum()
+def _ratio(free: np.ndarray, capped: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """What brings each value's free + capped weight to its goal while the capped part stays: a Newton step, kept above zero."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plain = np.where(free + capped > 0, goal / (free + capped), 1.0)
+        return np.where(free > 0, np.maximum((goal - capped) / free, plain / 2), plain)
+
+
+def _fit(sums: Sums, factors: list[np.ndarray], goals: list[np.ndarray], cap: float, rounds: int, tolerance: float) -> bool:
+    """Scale the values' factors in place until the weights tokens * min(cap, product of factors) have the goals as totals.
+
+    A cell at the cap stays there and the others are raked around it, so capped cells cost no value its goal. True if each
+    total is within tolerance of its goal, relative to the goal.
+    """
     for _ in range(rounds):
         worst = 0.0
-        for code, target in zip(codes, targets, strict=True):
-            totals = np.bincount(code, weights=weights, minlength=len(target))
-            ratio = np.divide(target, totals, out=np.ones_like(target), where=totals > 0)
-            worst = max(worst, float(np.abs(totals - target).max()))
-            weights = weights * ratio[code]
+        for n, goal in enumerate(goals):
+            free, capped = sums(factors, n, cap)
+            asked = (goal > 0) & (free + capped > 0)
+            worst = max(worst, float(np.max(np.abs(free + capped - goal)[asked] / goal[asked], initial=0.0)))
+            factors[n] = factors[n] * _ratio(free, capped, goal)
         if worst < tolerance:
-            break
-    return weights * cells.sum() / cells
+            return True
+    return False
+
+
+def _array_sums(cells: np.ndarray, codes: list[np.ndarray], sizes: list[int]) -> Sums:
+    """sums(factors, n, cap): free and capped weight of each value of dimension n; n = -1: the largest product of factors."""
+
+    def sums(factors: list[np.ndarray], n: int, cap: float):
+        p = np.prod([f[c] for f, c in zip(factors, codes, strict=True)], axis=0)
+        if n < 0:
+            return float(p.max())
+        free = p < cap
+        return np.bincount(codes[n], np.where(free, cells * p, 0.0), sizes[n]), np.bincount(codes[n], np.where(free, 0.0, cells * cap if cap < np.inf else 0.0), sizes[n])
+
+    return sums
+
+
+def _frame_sums(cells: DataFrame, sizes: list[int]) -> Sums:
+    """_array_sums over a frame (c0, c1, ..., tokens): tasks add up their cells, and only the values' sums reach the driver."""
+    spark = cells.sparkSession
+
+    def sums(factors: list[np.ndarray], n: int, cap: float):
+        sent = spark.sparkContext.broadcast(factors)
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                codes = [batch.column(f"c{k}").to_numpy() for k in range(len(sent.value))]
+                part = _array_sums(batch.column("tokens").to_numpy().astype(float), codes, sizes)(sent.value, n, cap)
+                if n < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([part]), pa.array([0.0])], names=["code", "free", "capped"])
+                else:
+                    some = np.unique(codes[n])
+                    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(part[0][some]), pa.array(part[1][some])], names=["code", "free", "capped"])
+
+        add = F.max if n < 0 else F.sum
+        rows = cells.mapInArrow(run, "code long, free double, capped double").groupBy("code").agg(add("free").alias("free"), add("capped").alias("capped")).collect()
+        sent.destroy()
+        if n < 0:
+            return rows[0].free
+        free, capped = np.zeros(sizes[n]), np.zeros(sizes[n])
+        for r in rows:
+            free[r.code], capped[r.code] = r.free, r.capped
+        return free, capped
+
+    return sums
+
+
+def _raked(sums: Sums, whole: float, targets: list[np.ndarray], rounds: int, tolerance: float) -> list[np.ndarray]:
+    factors = [np.ones(len(t)) for t in targets]
+    _fit(sums, factors, [t * whole for t in targets], np.inf, rounds, tolerance)
+    return factors
+
+
+def _product(factors: list[np.ndarray], codes: list[np.ndarray]) -> np.ndarray:
+    return np.prod([f[c] for f, c in zip(factors, codes, strict=True)], axis=0)
+
+
+def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Factor of each cell so that, in each dimension, the share of factor * tokens of each value is its target."""
+    cells = cells.astype(float)
+    return _product(_raked(_array_sums(cells, codes, [len(t) for t in targets]), cells.sum(), targets, rounds, tolerance), codes)
+
+
+def _coded(cells: DataFrame, values: list[tuple[str, list]]) -> DataFrame:
+    """cells with the number of each value in its dimension's list, as c0, c1, ..."""
+    spark = cells.sparkSession
+    for n, (name, listed) in enumerate(values):
+        codes = spark.createDataFrame([(v, k) for k, v in enumerate(listed)], f"`{name}` string, c{n} int")
+        cells = cells.join(codes, name)
+    return cut(cells)
 
-def rake_frames(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 20, tolerance: float = 1e-5) -> DataFrame:
+
+def _with_product(cells: DataFrame, values: list[tuple[str, list]], factors: list[np.ndarray], name: str) -> DataFrame:
+    out = cells
+    for n, (_, listed) in enumerate(values):
+        out = out.join(cells.sparkSession.createDataFrame([(k, float(factors[n][k])) for k in range(len(listed))], f"c{n} int, f{n} double"), f"c{n}")
+    product = F.lit(1.0)
+    for n in range(len(values)):
+        product = product * F.col(f"f{n}")
+    return out.withColumn(name, product).drop(*(f"{x}{n}" for x in "cf" for n in range(len(values))))
+
+
+def rake_frames(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = FRAME_ROUNDS, tolerance: float = FRAME_TOLERANCE) -> DataFrame:
     """rake() for more cells than a driver should hold: cells (dimensions, tokens) -> with factor. targets: (value, share) by dimension."""
-    whole = cells.agg(F.sum("tokens")).first()[0]
-    now = cells.withColumn("w", F.col("tokens") / F.lit(float(whole)))
-    for _ in range(rounds):
-        worst = 0.0
-        for name, target in targets.items():
-            totals = now.groupBy(name).agg(F.sum("w").alias("total"))
-            ratio = cut(totals.join(target.withColumnRenamed("value", name), name).select(name, (F.col("share") / F.col("total")).alias("ratio"), F.abs(F.col("share") - F.col("total")).alias("off")))
-            worst = max(worst, ratio.agg(F.coalesce(F.max("off"), F.lit(0.0))).first()[0])
-            now = cut(now.join(ratio.drop("off"), name).withColumn("w", F.col("w") * F.col("ratio")).drop("ratio"))
-        if worst < tolerance:
-            break
-    return now.withColumn("factor", F.col("w") * F.lit(float(whole)) / F.col("tokens")).drop("w")
+    listed = {name: sorted((r.value, r.share) for r in t.collect()) for name, t in targets.items()}
+    values = [(name, [v for v, _ in rows]) for name, rows in listed.items()]
+    shares = [np.array([x for _, x in rows], dtype=float) for rows in listed.values()]
+    coded = _coded(cells, values)
+    whole = float(coded.agg(F.sum("tokens")).first()[0])
+    factors = _raked(_frame_sums(coded, [len(x) for x in shares]), whole, shares, rounds, tolerance)
+    return _with_product(coded, values, factors, "factor")
 
 
 def scale_for(tokens: np.ndarray, factors: np.ndarray, share: float) -> float:
-    """The scale with which capped probabilities min(1, scale * factor) keep the given share of the tokens."""
+    """The scale with which capped probabilities min(1, scale * factor) keep the given share of the tokens; caps then cost values their targets."""
     low, high = 0.0, 1.0 / max(float(factors.min()), 1e-12)
     goal = share * tokens.sum()
     for _ in range(100):
@@ -96,42 +185,66 @@ def scale_for(tokens: np.ndarray, factors: np.ndarray, share: float) -> float:
     return high
 
 
+def fit_share(sums: Sums, totals: list[np.ndarray], targets: list[np.ndarray], share: float, rounds: int, tolerance: float) -> list[np.ndarray]:
+    """Factors whose products, capped at 1, keep tokens in the target shares, and the given share of all or the largest one possible.
+
+    A value cannot give more tokens than it has, which bounds the share; where cells in common bound it further, the largest
+    share is searched for. Targets that no weights of the cells reach stay as near as raking without caps comes to them.
+    """
+    whole = float(totals[0].sum())
+    base = _raked(sums, whole, targets, rounds, tolerance)
+    peak = sums(base, -1, np.inf)
+    high = min([share, *(float((t[g > 0] / whole / g[g > 0]).min()) for t, g in zip(totals, targets, strict=True))])
+
+    def at(wanted: float) -> tuple[list[np.ndarray], bool]:
+        factors = [base[0] * wanted, *base[1:]]
+        if wanted * peak <= 1:
+            return factors, True
+        return factors, _fit(sums, factors, [t * whole * wanted for t in targets], 1.0, rounds, tolerance)
+
+    best, ok = at(high)
+    if ok:
+        return best
+    low = min(high, 1 / peak)
+    best, _ = at(low)
+    for _ in range(HALVINGS):
+        middle = (low + high) / 2
+        factors, ok = at(middle)
+        if ok:
+            low, best = middle, factors
+        else:
+            high = middle
+    return best
+
+
 def calibrated(cells: DataFrame, exponents: dict[str, float], share: float) -> DataFrame:
     """Cells (dimensions, tokens) with probability."""
     spark = cells.sparkSession
     cells = cut(cells)
     some = cells.where("tokens > 0")
     schema = "source string, lang string, topic string, probability double"
+    totals, targets, values = [], [], []
+    for name in DIMENSIONS:
+        found = dict(sorted((r[0], float(r[1])) for r in some.groupBy(name).agg(F.sum("tokens")).collect()))
+        goal = tempered(found, exponents.get(name, 1.0))
+        values.append((name, list(found)))
+        totals.append(np.array(list(found.values())))
+        targets.append(np.array([goal[x] for x in found]))
+    if not len(totals[0]):
+        return spark.createDataFrame([], schema)
+    sizes = [len(t) for t in totals]
     if some.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS:
         rows = sorted((r.source, r.lang, r.topic, r.tokens) for r in some.collect())
-        if not rows:
-            return spark.createDataFrame([], schema)
-        tokens = np.array([r[3] for r in rows], dtype=float)
-        codes, targets = [], []
-        for n, name in enumerate(DIMENSIONS):
-            names, code = np.unique([r[n] for r in rows], return_inverse=True)
-            totals = np.bincount(code, weights=tokens)
-            goal = tempered(dict(zip(names.tolist(), totals.tolist(), strict=True)), exponents.get(name, 1.0))
-            codes.append(code)
-            targets.append(np.array([goal[x] for x in names.tolist()]))
-        factors = rake(tokens, codes, targets)
-        scale = scale_for(tokens, factors, share)
-        p = np.minimum(1.0, scale * factors)
+        codes = []
+        for n, (_, listed) in enumerate(values):
+            number = {v: k for k, v in enumerate(listed)}
+            codes.append(np.array([number[r[n]] for r in rows]))
+        factors = fit_share(_array_sums(np.array([r[3] for r in rows], dtype=float), codes, sizes), totals, targets, share, ROUNDS, TOLERANCE)
+        p = np.minimum(1.0, _product(factors, codes))
         return spark.createDataFrame([(*r[:3], float(q)) for r, q in zip(rows, p, strict=True)], schema)
-    goals = {}
-    for name in DIMENSIONS:
-        raised = some.groupBy(F.col(name).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(exponents.get(name, 1.0))).alias("r"))
-        goals[name] = cut(raised.crossJoin(F.broadcast(raised.agg(F.sum("r").alias("whole")))).select("value", (F.col("r") / F.col("whole")).alias("share")))
-    raked = cut(rake_frames(some, goals))
-    goal = share * raked.agg(F.sum("tokens")).first()[0]
-    low, high = 0.0, 1.0 / max(raked.agg(F.min("factor")).first()[0], 1e-12)
-    for _ in range(25):
-        middle = (low + high) / 2
-        if raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * F.lit(middle)))).first()[0] < goal:
-            low = middle
-        else:
-            high = middle
-    return raked.select(*DIMENSIONS, F.least(F.lit(1.0), F.col("factor") * F.lit(high)).alias("probability"))
+    coded = _coded(some, values)
+    factors = fit_share(_frame_sums(coded, sizes), totals, targets, share, FRAME_ROUNDS, FRAME_TOLERANCE)
+    return _with_product(coded, values, factors, "product").select(*DIMENSIONS, F.least(F.lit(1.0), F.col("product")).alias("probability"))
 
 
 #: Shares of sources are flattened most, languages less; topics keep their shares.
@@ -143,7 +256,8 @@ def mix_sources(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Inclusion of each document in a sample with target shares of source, language and topic; one row for each input row.
 
     Returns id_col, source, lang, topic, n_tokens, probability and kept. Targets are the dimensions' token shares to the powers
-    in exponents; the sample has the given share of all tokens in expectation. A document is kept if a uniform hash of its id and
+    in exponents, and the sample has them in expectation. It has the given share of all tokens, or the largest smaller one at which
+    no probability exceeds 1 (a value cannot give more tokens than it has); mix_report tells what is reached. A document is kept if a uniform hash of its id and
     the seed is below its probability, so repeated rows stay or go together, and results do not depend on partitions. Null sources and
     languages are values of their own, named (null). Documents without words have topic '' and probability 1. Null ids hash
     like any value. An empty table gives an empty table.
@@ -156,6 +270,18 @@ def mix_sources(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").alias(id_col), "source", "lang", "topic", F.col("tokens").alias("n_tokens"), "probability", (uniform < F.col("probability")).alias("kept"))
 
 
+def mix_report(result: DataFrame, exponents: dict[str, float] | None = None) -> DataFrame:
+    """(dimension, value, target, achieved, available): shares of tokens in the targets, in mix_sources' result as expected, and in the input."""
+    exponents = EXPONENTS if exponents is None else exponents
+    parts = []
+    for name in DIMENSIONS:
+        sums = result.where("n_tokens > 0").groupBy(F.col(name).alias("value")).agg(F.sum("n_tokens").cast("double").alias("all"), F.sum(F.col("n_tokens") * F.col("probability")).alias("kept"))
+        raised = F.pow("all", F.lit(float(exponents.get(name, 1.0))))
+        whole = sums.agg(F.sum(raised).alias("r"), F.sum("kept").alias("k"), F.sum("all").alias("a"))
+        parts.append(sums.crossJoin(F.broadcast(whole)).select(F.lit(name).alias("dimension"), "value", (raised / F.col("r")).alias("target"), (F.col("kept") / F.col("k")).alias("achieved"), (F.col("all") / F.col("a")).alias("available")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def keep_sample(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that mix_sources keeps, with all their columns. Null ids are compared as equal."""
     dropped = mix_sources(documents, id_col, **options).where("not kept").select(F.col(id_col).alias("_lumenlog_dropped")).distinct()

@@ -276,6 +276,24 @@ def test_mixing_reaches_its_targets(spark, documents):
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
+def skewed(spark):
+    """One source with a third of the rows, 39 rarer and rarer ones, languages of unequal size."""
+    rng = random.Random(4)
+    names = ["hot"] * 300 + [f"s{k}" for k in range(1, 40) for _ in range(150 // k)]
+    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(5, 60))), rng.choices(["en", "de", "fr"], [6, 3, 1])[0], s) for i, s in enumerate(names)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_mixing_reaches_its_targets_with_capped_probabilities(spark):
+    result = mixing.mix_sources(skewed(spark)).cache()
+    report = mixing.mix_report(result).collect()
+    assert {r.dimension for r in report} == set(mixing.DIMENSIONS)
+    assert all(abs(r.achieved / r.target - 1) < 1e-4 for r in report)
+    assert result.where("probability >= 1").count() > 0 and result.agg(F.max("probability")).first()[0] <= 1
+    hot = next(r for r in report if r.value == "hot")
+    assert hot.available > 0.25 > hot.target
+
+
 def test_raking_by_spark_equals_raking_on_the_driver(spark):
     rows = [("a", "x", "t0", 40), ("a", "y", "t0", 10), ("b", "x", "t1", 30), ("b", "y", "t0", 5), ("c", "y", "t1", 15)]
     goals = {"source": {"a": 0.3, "b": 0.3, "c": 0.4}, "lang": {"x": 0.5, "y": 0.5}}
