@@ -18,12 +18,13 @@ from ._kernels import mix, word_hashes
 from ._runtime import cut, slices
 
 TOPICS = 8
-#: Cells that are raked on the driver; more are raked by Spark, with the same steps.
+#: Cells that are raked on the driver; more are summed by Spark, with the same steps, rounds and tolerance.
 DRIVER_CELLS = 100_000
 DIMENSIONS = ("source", "lang", "topic")
 #: Rounds and relative error at which raking ends, and halvings in the search for the largest share.
 ROUNDS, TOLERANCE, HALVINGS = 200, 1e-6, 10
-FRAME_ROUNDS, FRAME_TOLERANCE = 20, 1e-5
+#: Rounds in which the error must fall by a tenth.
+STALLED = 20
 Sums = Callable[[list[np.ndarray], int, float], "tuple[np.ndarray, np.ndarray] | float"]
 
 
@@ -67,9 +68,10 @@ def _fit(sums: Sums, factors: list[np.ndarray], goals: list[np.ndarray], cap: fl
     """Scale the values' factors in place until the weights tokens * min(cap, product of factors) have the goals as totals.
 
     A cell at the cap stays there and the others are raked around it, so capped cells cost no value its goal. True if each
-    total is within tolerance of its goal, relative to the goal.
+    total is within tolerance of its goal, relative to the goal. Goals that can't be had are given up when the error stays.
     """
-    for _ in range(rounds):
+    before = np.inf
+    for turn in range(rounds):
         worst = 0.0
         for n, goal in enumerate(goals):
             free, capped = sums(factors, n, cap)
@@ -78,6 +80,10 @@ def _fit(sums: Sums, factors: list[np.ndarray], goals: list[np.ndarray], cap: fl
             factors[n] = factors[n] * _ratio(free, capped, goal)
         if worst < tolerance:
             return True
+        if turn % STALLED == STALLED - 1:
+            if worst > 0.9 * before:
+                return False
+            before = worst
     return False
 
 
@@ -161,7 +167,7 @@ def _with_product(cells: DataFrame, values: list[tuple[str, list]], factors: lis
     return out.withColumn(name, product).drop(*(f"{x}{n}" for x in "cf" for n in range(len(values))))
 
 
-def rake_frames(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = FRAME_ROUNDS, tolerance: float = FRAME_TOLERANCE) -> DataFrame:
+def rake_frames(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """rake() for more cells than a driver should hold: cells (dimensions, tokens) -> with factor. targets: (value, share) by dimension."""
     listed = {name: sorted((r.value, r.share) for r in t.collect()) for name, t in targets.items()}
     values = [(name, [v for v, _ in rows]) for name, rows in listed.items()]
@@ -243,7 +249,7 @@ def calibrated(cells: DataFrame, exponents: dict[str, float], share: float) -> D
         p = np.minimum(1.0, _product(factors, codes))
         return spark.createDataFrame([(*r[:3], float(q)) for r, q in zip(rows, p, strict=True)], schema)
     coded = _coded(some, values)
-    factors = fit_share(_frame_sums(coded, sizes), totals, targets, share, FRAME_ROUNDS, FRAME_TOLERANCE)
+    factors = fit_share(_frame_sums(coded, sizes), totals, targets, share, ROUNDS, TOLERANCE)
     return _with_product(coded, values, factors, "product").select(*DIMENSIONS, F.least(F.lit(1.0), F.col("product")).alias("probability"))
 
 

@@ -305,6 +305,18 @@ def test_raking_by_spark_equals_raking_on_the_driver(spark):
     assert np.allclose([by_cell[r[:2]] for r in rows], want)
 
 
+def test_mixing_does_not_depend_on_where_cells_are_raked(spark, monkeypatch):
+    # Sparse cells: raking needs 28 rounds.
+    rows = [("a", "x", "t0", 1000), ("a", "y", "t1", 60), ("b", "x", "t1", 60), ("b", "y", "t0", 300), ("c", "y", "t1", 200), ("c", "x", "t0", 60), ("d", "y", "t1", 60), ("d", "x", "t0", 60)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    probabilities = lambda: {r[:3]: r.probability for r in mixing.calibrated(cells, {"source": 0.8, "lang": 0.8}, 0.4).collect()}
+    driver = probabilities()
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 3)
+    frames = probabilities()
+    assert len(driver) == len(rows) and driver.keys() == frames.keys()
+    assert all(np.isclose(driver[k], frames[k], rtol=1e-9) for k in driver)
+
+
 def test_pipeline_applies_each_stage(spark, tmp_path):
     documents, labels = labelled(spark, 300)
     documents = documents.withColumn("lang", F.lit("en")).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3)).withColumn("n_chars", F.length("text").cast("long"))
