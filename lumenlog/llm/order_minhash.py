@@ -96,9 +96,6 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return matches / (n + m - matches)
 
 
-_SCAN = pa.schema([("doc", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sigs", pa.list_(pa.int64()))])
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         (words, other), offsets = word_hashes(_lower(batch.column("text")), 2)
@@ -107,7 +104,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = mix(np.arange(b - a, dtype=U), 24)
             digests.append((int(mix(words[a:b] ^ place, 25).sum(dtype=U).view(np.int64)), int(mix(other[a:b] + place, 26).sum(dtype=U).view(np.int64))))
             sigs.append(signatures(shingles(words[a:b])).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], schema=_SCAN)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("key"), batch.column("h"), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "key", "h", "d1", "d2", "sigs"]
+        )
 
 
 def _lower(column: pa.Array) -> pa.Array:
@@ -174,24 +173,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """Classes of near-duplicate documents; one row for each input row.
+def _classified(documents: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, key, h, class_id, rep_id, n_links, kept) of each row; h hashes the text, kept: the row that stands for its class.
 
-    Returns id_col, class_id (the smallest id in the class), rep_id (the smallest id with the same words) and n_links (verified
-    links of rep_id that the search found). Words are the lower-case runs of characters other than ASCII white space. Texts shorter
-    than five words are one shingle; null and empty texts have the same (no) words and are one class. Null ids share the
-    largest value as class member. Repeated rows get equal results. An empty table gives an empty table.
+    A node ("doc" in links and buckets) is a group of rows with equal words. Nodes are numbered in the order of their smallest
+    (key, h), so rows that share an id but not their words are different nodes, and the least node has the least id.
     """
-    docs = documents.select(doc_key(id_col).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    scanned = cut(docs.select("doc", "text").mapInArrow(_scan, "doc long, d1 long, d2 long, sigs array<long>"))
-    groups = scanned.groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
-    members = cut(scanned.select("doc", "d1", "d2").join(groups, ["d1", "d2"]).select("doc", "rep"))
-    # Equal words have equal signatures, so the smallest document of each group can speak for it; rows that share an id do too.
-    least = scanned.join(groups, ["d1", "d2"]).where("doc = rep").select("rep", "sigs")
-    buckets = least.select(F.col("rep").alias("doc"), F.explode("sigs").alias("bucket")).distinct()
+    docs = documents.select(F.col(id_col).alias("id"), doc_key(id_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+    scanned = cut(docs.mapInArrow(_scan, f"id {documents.schema[id_col].dataType.simpleString()}, key long, h long, d1 long, d2 long, sigs array<long>"))
+    nodes = scanned.groupBy("d1", "d2").agg(F.min(F.struct("key", "h")).alias("least")).select("d1", "d2", F.col("least.key").alias("rep"), F.col("least.h").alias("rep_h"))
+    nodes = cut(nodes.orderBy("rep", "rep_h", "d1", "d2").withColumn("doc", F.monotonically_increasing_id()))
+    # Equal words have equal signatures, so the smallest row of each node can speak for it.
+    speakers = scanned.join(nodes, ["d1", "d2"]).where("key = rep and h = rep_h")
+    buckets = speakers.select("doc", F.explode("sigs").alias("bucket")).distinct()
     stars = cut(_stars(buckets))
     wanted = stars.select("doc").unionByName(stars.select(F.col("center").alias("doc"))).distinct()
-    candidates = docs.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc", "left_semi")
+    wanted = nodes.join(wanted, "doc", "left_semi").select("doc", F.col("rep").alias("key"), F.col("rep_h").alias("h"))
+    candidates = docs.select("key", "h", "text").join(wanted.hint("shuffle_hash"), ["key", "h"]).select("doc", "text")
     words = cut(candidates.mapInArrow(_word_rows, "doc long, words binary")).dropDuplicates(["doc"])
     checked = cut(_verify(stars.select("doc", "center").distinct(), words, threshold))
     links = checked.where("ok").select("doc", "center")
@@ -199,10 +197,23 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     links = cut(links.distinct())
     roots = components(links, "doc", "center")
     degree = links.select("doc").unionByName(links.select(F.col("center").alias("doc"))).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
-    by_rep = roots.join(degree, "doc", "full").select(F.col("doc").alias("rep"), "root", "n_links")
-    classes = members.join(by_rep, "rep", "left").select("doc", "rep", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")).dropDuplicates(["doc"])
-    out = docs.select("doc", "id").join(classes, "doc")
-    return out.select(F.col("id").alias(id_col), "class_id", F.col("rep").alias("rep_id"), "n_links")
+    linked = roots.join(degree, "doc", "full").withColumn("root", F.coalesce("root", "doc"))
+    linked = linked.join(nodes.select(F.col("doc").alias("root"), F.col("rep").alias("class_id")), "root")
+    classes = nodes.join(linked, "doc", "left").select("d1", "d2", "rep", "rep_h", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce(F.col("root") == F.col("doc"), F.lit(True)).alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    rows = scanned.select("id", "key", "h", "d1", "d2").join(classes, ["d1", "d2"])
+    return rows.select("id", "key", "h", "class_id", F.col("rep").alias("rep_id"), "n_links", (F.col("first") & (F.col("key") == F.col("rep")) & (F.col("h") == F.col("rep_h"))).alias("kept"))
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """Classes of near-duplicate documents; one row for each input row.
+
+    Returns id_col, class_id (the smallest id in the class), rep_id (the smallest id with the same words) and n_links (verified
+    links of rep_id's words that the search found). Words are the lower-case runs of characters other than ASCII white space. Texts
+    shorter than five words are one shingle; null and empty texts have the same (no) words and are one class. Null ids share the
+    largest value as class member. Rows that share an id but not their text are documents of their own, whose classes may have
+    the same class_id; repeated rows get equal results. An empty table gives an empty table.
+    """
+    return _classified(documents, id_col, text_col, threshold).select(F.col("id").alias(id_col), "class_id", "rep_id", "n_links")
 
 
 def _suspects(stars: DataFrame, checked: DataFrame) -> DataFrame:
@@ -256,11 +267,14 @@ def _exact_links(suspects: DataFrame, words: DataFrame, tried: DataFrame, thresh
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One document of each class of near_duplicates, the one with the smallest id; all columns stay."""
-    classes = near_duplicates(documents, id_col, text_col, threshold)
-    dropped = classes.where(F.col("class_id") != doc_key(id_col)).select(doc_key(id_col).alias("_lumenlog_dropped")).distinct()
-    kept = documents.withColumn("_lumenlog_key", doc_key(id_col)).join(dropped.hint("shuffle_hash"), F.col("_lumenlog_key") == F.col("_lumenlog_dropped"), "left_anti").drop("_lumenlog_key")
-    return kept
+    """One document of each class of near_duplicates, the one with the smallest id; all columns stay.
+
+    Rows are told apart by id and text; rows equal in both stay or go together.
+    """
+    dropped = _classified(documents, id_col, text_col, threshold).where("not kept").select(F.col("key").alias("_lumenlog_a"), F.col("h").alias("_lumenlog_b")).distinct()
+    keyed = documents.withColumn("_lumenlog_key", doc_key(id_col)).withColumn("_lumenlog_h", F.xxhash64(F.col(text_col).cast("string")))
+    same = (F.col("_lumenlog_key") == F.col("_lumenlog_a")) & (F.col("_lumenlog_h") == F.col("_lumenlog_b"))
+    return keyed.join(dropped.hint("shuffle_hash"), same, "left_anti").drop("_lumenlog_key", "_lumenlog_h")
 
 
 def brute_force(rows: list[tuple[int, str | None]], threshold: float = 0.8) -> dict[int, int]:

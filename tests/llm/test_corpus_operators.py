@@ -158,6 +158,21 @@ def test_near_duplicates_keep_links_between_documents_of_which_only_one_is_linke
     assert got == order_minhash.brute_force(rows)
 
 
+def test_near_duplicates_tell_rows_that_share_an_id_apart_by_text(spark):
+    rng = random.Random(6)
+    prose = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    base, alone, other = prose(), prose(), prose()
+    rows = [(5, base), (None, base + " tail"), (None, alone), (None, alone.upper()), (7, other), (7, base + " end"), (7, other + " end"), (7, other)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = sorted((r.doc_id or 0, r.class_id) for r in order_minhash.near_duplicates(df).collect())
+        null = 2**63 - 1
+        assert got == [(0, 5), (0, null), (0, null), (5, 5), (7, 5), (7, 7), (7, 7), (7, 7)]
+        kept = sorted((r.doc_id or 0, r.text.lower()) for r in order_minhash.keep_one(df).collect())
+        assert {i for i, _ in kept} == {0, 5, 7} and [t for i, t in kept if i == 0] == [alone] and (5, base) in kept
+        assert {t for i, t in kept if i == 7} in ({other}, {other + " end"})
+
+
 def test_components_follow_long_chains(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95)]
     got = {r.doc: r.root for r in order_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
