@@ -21,7 +21,7 @@ from ._kernels import Block, anchors, rolling, word_blocks, word_hashes
 from ._runtime import cut, doc_key, slices
 from ._sketch import cells_for, may_repeat, repeated
 
-_WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("at", pa.int32())])
+_WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("at", pa.int32())])
 
 
 def _distinct(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -49,13 +49,13 @@ def remove_repeated_windows(documents: DataFrame, width: int = 50, id_col: str =
 
     Words are the runs of characters other than ASCII white space. Returns id_col, text_col (the kept words joined by one
     space), n_words and n_removed, one row for each input row; other columns are left out. Null text has no words; texts
-    shorter than a window keep all. Null ids count as one document with the largest id. Rows that share an id are one
-    document: a window never repeats within it, and repeated rows get equal results. An empty table gives an empty table.
+    shorter than a window keep all. Null ids count as the largest id. Rows that share an id are one document where ids are
+    compared: a window never repeats within it; each row loses its own text's words only, and repeated rows get equal results. An empty table gives an empty table.
     """
     spark = documents.sparkSession
     gram = (width + 1) // 2
     halo = 2 * width
-    docs = documents.select(doc_key(id_col).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = documents.select(doc_key(id_col).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # A word and the space after it take about six bytes; an anchor stands for (width - gram + 2) / 2 words.
     cells = cells_for(int(size / 6 / ((width - gram + 2) / 2)) + 1)
@@ -73,7 +73,7 @@ def remove_repeated_windows(documents: DataFrame, width: int = 50, id_col: str =
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
         for batch in slices(batches, "text"):
-            doc = batch.column("doc").to_numpy()
+            doc, own = batch.column("doc").to_numpy(), batch.column("t").to_numpy()
             hashes, offsets = word_hashes(batch.column("text"), 2)
             for block in word_blocks(hashes, offsets, halo):
                 # The anchor of a window that starts here may lie in the overlap with the next block.
@@ -87,14 +87,15 @@ def remove_repeated_windows(documents: DataFrame, width: int = 50, id_col: str =
                             pa.array(rolling(block.values[0], width, 0)[at].view(np.int64)),
                             pa.array(rolling(block.values[1], width, 1)[at].view(np.int64)),
                             pa.array(doc[block.row[piece]]),
+                            pa.array(own[block.row[piece]]),
                             pa.array((block.first[piece] + at - block.start[piece]).astype(np.int32)),
                         ],
                         schema=_WINDOWS,
                     )
 
-    windows = docs.select("doc", "text").mapInArrow(candidates, "h1 long, h2 long, doc long, at int")
+    windows = docs.select("doc", "t", "text").mapInArrow(candidates, "h1 long, h2 long, doc long, t long, at int")
     first = cut(windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"))
-    covered = windows.join(first, ["h1", "h2"]).where("doc > first").groupBy("doc").agg(F.collect_list("at").alias("starts"))
+    covered = windows.join(first, ["h1", "h2"]).where("doc > first").groupBy("doc", "t").agg(F.collect_list("at").alias("starts"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -117,7 +118,7 @@ def remove_repeated_windows(documents: DataFrame, width: int = 50, id_col: str =
                 n_removed.append(gone)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[id_col, text_col, "n_words", "n_removed"])
 
-    joined = docs.join(covered.hint("shuffle_hash"), "doc", "left").select("id", "text", "starts")
+    joined = docs.join(covered.hint("shuffle_hash"), ["doc", "t"], "left").select("id", "text", "starts")
     kind = documents.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(kept, f"`{id_col}` {kind}, `{text_col}` string, n_words long, n_removed long")
 

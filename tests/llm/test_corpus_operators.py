@@ -93,6 +93,22 @@ def test_long_documents_are_cut_into_blocks_without_loss(spark, monkeypatch):
         assert len(got) == 4 and all(tuple(r[1:]) == want[r[0]] for r in got)
 
 
+def test_rows_that_share_an_id_lose_only_what_their_own_text_repeats(spark):
+    rng = random.Random(12)
+    prose = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    base, clean, tail = prose(60), prose(300), prose(40)
+    rows = [(1, base), (None, clean), (None, tail + " " + clean + " " + base), (None, "x " + base[7:]), (3, prose(90)), (3, base + " " + tail), (None, prose(4)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for module, run in ((substring_dedup, substring_dedup.remove_repeated_windows), (suffix_dedup, suffix_dedup.remove_repeated_bytes)):
+        got = sorted((r[0] or 0, tuple(r[1:])) for r in module.digest(run(df)).collect())
+        want = []
+        for i, text in rows:  # each row with all rows of smaller ids
+            key = lambda x: 2**63 - 1 if x is None else x
+            known = [(n, t) for n, (j, t) in enumerate(rows) if key(j) < key(i)]
+            want.append((i or 0, module.brute_force([*known, (len(rows), text)])[len(rows)]))
+        assert got == sorted(want), module.__name__
+
+
 def test_null_ids_and_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(None, text), (4, text), (4, text), (None, None)]
