@@ -89,12 +89,6 @@ def template_groups(spark, sf_dir):
     return templates.template_groups(canonical(spark, sf_dir))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '\b\d+\b', '<NUM>', 'g') AS masked FROM documents WHERE NOT regexp_matches(text, '[/\\]|[0-9a-fA-F]{8}|0[xX]|\d{4}-\d\d')")
-def mask_numbers(spark, sf_dir):
-    plain = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[/\\]|[0-9a-fA-F]{8}|0[xX]|\d{4}-\d\d"))
-    return plain.select("doc_id", T.mask("text").alias("masked"))
-
-
 @query()
 def mask_full(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.mask("text").alias("masked"))
