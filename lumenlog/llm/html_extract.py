@@ -28,35 +28,69 @@ _CLOSES_P = _BLOCK - {"html", "body", "head", "button", "label", "caption", "leg
 _DROPPED = frozenset("nav footer aside form dialog menu search button label fieldset head".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _BAD = re.compile(
-    r"(?:^|[-_\s])(?:nav\w*|menu\w*|side-?bar\w*|foot(?:er)?\w*|(?:page|site|top|global|main|mast)[-_]?head(?:er)?|header|masthead|comments?\w*|disqus\w*|respon[ds]e?|repl(?:y|ies)|ads?|advert\w*|adsense|adv|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent\w*|gdpr\w*|notices?|alert\w*|notification\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|breadcrumbs?|pag(?:er|ination)|widget\w*|toolbar\w*|tags|meta|byline|disclaimer|copyright|legal|skip\w*|hidden|outbrain|taboola)(?=$|[-_\s\d])",
+    r"(?:^|[-_\s])(?:nav\w*|menu\w*|side-?bar\w*|foot(?:er)?\w*|comments?\w*|disqus\w*|respon[ds]e?|repl(?:y|ies)|ads?|advert\w*|adsense|adv|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent\w*|gdpr\w*|notices?|alert\w*|notification\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|breadcrumbs?|pag(?:er|ination)|widget\w*|toolbar\w*|tags|meta|byline|disclaimer|copyright|legal|skip\w*|hidden|outbrain|taboola)(?=$|[-_\s\d])",
     re.I,
 )
+_HEADER = re.compile(r"(?:^|[-_\s])(?:(?:page|site|top|global|main|mast)[-_]?head(?:er)?|(?<!entry.)(?<!article.)(?<!post.)(?<!story.)(?<!content.)header|masthead)(?=$|[-_\s\d])", re.I)
+#: Names of boilerplate that may hold more prose than the article.
+_PROSE = re.compile(r"(?:^|[-_\s])(?:comments?|disqus|respon[ds]|repl(?:y|ies)|cookie|consent|gdpr|popup|modal|overlay|newsletter|disclaimer|copyright|legal)", re.I)
+#: Share of a page's prose that only an element around its main text holds.
+_MOST = 0.8
 _GOOD = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
 _BASE = {"article": 15, "main": 10, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5}
 _PARAGRAPH = frozenset("p pre td blockquote div section article main body li dd".split())
 
 
 class _Node:
-    __slots__ = ("children", "links", "parent", "points", "said", "tag", "words")
+    __slots__ = ("children", "links", "parent", "points", "said", "suspect", "tag", "words")
 
     def __init__(self, tag: str, parent: _Node | None, said: str = ""):
         self.tag, self.parent, self.said, self.children = tag, parent, said, []
         self.points, self.links, self.words = 0.0, 0, 0
+        self.suspect = ""
 
 
-def _is_boilerplate(tag: str, attributes: str, stack: list[_Node]) -> bool:
+def _is_boilerplate(tag: str, found: dict[str, str], stack: list[_Node]) -> bool:
     if tag in _DROPPED:
         return True
     if tag == "header":
         return not any(n.tag in ("article", "main") for n in stack)
-    if not attributes.strip() or tag in ("html", "body"):
+    if tag in ("html", "body"):
         return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if found.get("role", "").lower() in _DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
-    if tag in ("article", "main"):
-        return bool(re.search(r"(?:^|[-_\s])comments?(?=$|[-_\s])", f"{found.get('class', '')} {found.get('id', '')}", re.I))
-    return any(_BAD.search(unescape(found.get(k, ""))) for k in ("class", "id"))
+    return tag in ("article", "main") and bool(re.search(r"(?:^|[-_\s])comments?(?=$|[-_\s])", f"{found.get('class', '')} {found.get('id', '')}", re.I))
+
+
+def _suspicion(tag: str, found: dict[str, str], stack: list[_Node]) -> str:
+    """Class and id of an element that one of them names as boilerplate; headers are none within an article."""
+    if tag in ("html", "body", "article", "main", "header"):
+        return ""
+    names = [unescape(found[k]) for k in ("class", "id") if found.get(k)]
+    inside = any(n.tag in ("article", "main") for n in stack)
+    return " ".join(names) if any(_BAD.search(x) or not inside and _HEADER.search(x) for x in names) else ""
+
+
+def _without_boilerplate(root: _Node) -> _Node:
+    """Take out the elements with boilerplate's names, but not those around an article or, on a page without one, most of its prose."""
+    order, pending = [], [root]
+    while pending:
+        node = pending.pop()
+        order.append(node)
+        pending += [c for c in node.children if isinstance(c, _Node)]
+    if not any(n.suspect for n in order):
+        return root
+    prose, holds = {}, {}
+    for node in reversed(order):
+        below = [c for c in node.children if isinstance(c, _Node)]
+        own = sum(len(c[0].strip()) for c in node.children if isinstance(c, tuple) and not c[1]) if node.tag in _PARAGRAPH else 0
+        prose[node] = own + sum(prose[c] for c in below)
+        holds[node] = any(c.tag in ("article", "main") or holds[c] for c in below)
+    for node in order:
+        most = not holds[root] and prose[node] > _MOST * prose[root] and not _PROSE.search(node.suspect)
+        if node.suspect and not holds[node] and not most:
+            node.parent.children.remove(node)
+    return root
 
 
 def parse(html: str) -> _Node:
@@ -101,10 +135,12 @@ def parse(html: str) -> _Node:
                 if tag in ("html", "body"):
                     if any(n.tag == tag for n in stack[1:]) or tag == "html":
                         continue
-                if _is_boilerplate(tag, m[3], stack):
+                found = {x[1].lower(): x[2] or x[3] or x[4] or "" for x in _ATTRIBUTE.finditer(m[3])} if m[3].strip() else {}
+                if _is_boilerplate(tag, found, stack):
                     dropped.append(tag)
                 else:
                     node = _Node(tag, stack[-1], m[3])
+                    node.suspect = _suspicion(tag, found, stack)
                     stack[-1].children.append(node)
                     stack.append(node)
             elif tag == "a":
@@ -127,7 +163,7 @@ def parse(html: str) -> _Node:
                 if close not in ("p",):
                     linked = 0
     text(len(html))
-    return root
+    return _without_boilerplate(root)
 
 
 def _close(stack: list[_Node], names: tuple | list, stop: tuple) -> None:
@@ -177,7 +213,7 @@ def _score(root: _Node) -> list[_Node]:
     return order
 
 
-def _render(node: _Node, out: list[str]) -> None:
+def _render(node: _Node, out: list[str], whole: bool) -> None:
     parts: list[str] = []
 
     def flush() -> None:
@@ -186,14 +222,14 @@ def _render(node: _Node, out: list[str]) -> None:
         if text:
             out.append(text)
 
-    if node.tag in ("ul", "ol", "table", "div", "section", "dl") and node.words and node.links / node.words > 0.6 and node.links > 20:
+    if not whole and node.tag in ("ul", "ol", "table", "div", "section", "dl") and node.words and node.links / node.words > 0.6 and node.links > 20:
         return  # a list of links
     for child in node.children:
         if isinstance(child, tuple):
             parts.append(child[0])
         else:
             flush()
-            _render(child, out)
+            _render(child, out, whole)
     flush()
 
 
@@ -213,7 +249,7 @@ def extract(html: str | None) -> str:
         above = above.parent
     blocks: list[str] = []
     if whole is not None or best.parent is None:
-        _render(whole or best, blocks)
+        _render(whole or best, blocks, whole is not None)
     else:
         least = max(10.0, best.points * 0.2)
         for child in best.parent.children:
@@ -222,7 +258,7 @@ def extract(html: str | None) -> str:
             density = child.links / child.words if child.words else 0
             like_text = child.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and (density < 0.25 and child.words > 80 or density == 0 and child.words > 0)
             if child is best or child.points >= least or like_text:
-                _render(child, blocks)
+                _render(child, blocks, False)
     return "\n".join(blocks)
 
 

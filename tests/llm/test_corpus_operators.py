@@ -236,6 +236,23 @@ def test_html_extraction(spark):
     assert html_extract.extract("<p>cut <b") == "cut" and html_extract.extract("plain &lt; text") == "plain < text"
 
 
+def test_html_extraction_keeps_the_text_of_an_article_whole():
+    p = "<p>" + "Some words, with commas, in a paragraph that is long enough, to count. " * 3 + "</p>"
+    said = " ".join(p[3:-4].split())
+    links = "".join(f"<li><a href=x>reference number {i}</a></li>" for i in range(8))
+    listed = "\n".join(f"reference number {i}" for i in range(8))
+    assert html_extract.extract(f"<article>{p}<h2>References</h2><ul>{links}</ul></article>") == f"{said}\nReferences\n{listed}"
+    assert html_extract.extract(f"<article>{p}<div><p>See <a href=x>this link to another page here</a>.</div></article>") == f"{said}\nSee this link to another page here."
+    for name in ("entry-header", "article-header", "header"):
+        assert html_extract.extract(f"<article><div class='{name}'><h1>Title</h1></div>{p}</article>") == f"Title\n{said}"
+    for name in ("container no-sidebar", "layout has-sidebar", "content ad-free"):
+        assert html_extract.extract(f"<div class='{name}'><div class=c>{p}{p}</div></div>") == f"{said}\n{said}"
+        assert html_extract.extract(f"<div class='{name}'><article>{p}</article><div class=sidebar>{p}{p}{p}</div></div>") == said
+    # What the names rightly drop stays dropped, link lists outside articles too.
+    assert html_extract.extract(f"<div class=c>{p}{p}<ul>{links}</ul></div>") == f"{said}\n{said}"
+    assert html_extract.extract(f"<div class=site-header>{p}</div><div class=c>{p}{p}</div><div class=ad>{p}</div><div id=comments>{p * 9}</div>") == f"{said}\n{said}"
+
+
 def labelled(spark, n=900):
     rng = random.Random(2)
     words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7))) for _ in range(400)]
