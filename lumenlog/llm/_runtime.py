@@ -21,16 +21,19 @@ def doc_key(column: str = "doc_id") -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; make one of our own only where none is named."""
+    """Use the shared folder that the cluster names; make one of our own only in local mode, where none is named."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (context.master.startswith("local[") or context.master == "local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumenlog-checkpoint-"))
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffles, broadcasts and checkpoints that nothing refers to any more.
+    """Let Spark's cleaner drop shuffles and broadcasts that nothing refers to any more, and checkpoint files too where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
 
     The cleaner follows the driver's garbage collector, which a driver with little to do would not run for half an hour.
     """

@@ -12,13 +12,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._kernels import U, mix
-from ._runtime import release
+from ._runtime import cut, release
 
 #: Hash rows of a sketch; most cells in a row.
 ROWS = 2
@@ -89,14 +90,17 @@ def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _BITS = pa.schema([("segment", pa.int32()), ("bits", pa.binary())])
 
 
-def _merge_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bits = [np.packbits(_merged(a, b) == 2, bitorder="little").tobytes() for a, b in zip(batch.column("once").to_pylist(), batch.column("more").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(bits, pa.binary())], schema=_BITS)
+def _bits_of(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(_merged(a, b) >= least, bitorder="little").tobytes() for a, b in zip(batch.column("once").to_pylist(), batch.column("more").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(bits, pa.binary())], schema=_BITS)
+
+    return merge
 
 
-def repeated(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], cells: int) -> Broadcast:
-    """The merged sketch of the keys that keys_of yields for df's partitions, as a broadcast bit array."""
+def repeated(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], cells: int, least: int = 2) -> Broadcast:
+    """The merged sketch of the keys that keys_of yields for df's partitions, as a broadcast bit array: cells counted `least` times or more."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -115,7 +119,7 @@ def repeated(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterat
     lists = (F.collect_list("once").alias("once"), F.collect_list("more").alias("more"))
     parts = df.mapInArrow(sketch, "segment int, salt int, once binary, more binary")
     level = parts.groupBy("segment", "salt").agg(*lists).select("segment", "salt", "once", "more").mapInArrow(_merge_parts, "segment int, salt int, once binary, more binary")
-    done = level.groupBy("segment").agg(*lists).mapInArrow(_merge_bits, "segment int, bits binary")
+    done = level.groupBy("segment").agg(*lists).mapInArrow(_bits_of(least), "segment int, bits binary")
     whole = bytearray(ROWS * cells // 8)
     size = _SEGMENT // 8
     for row in done.toLocalIterator():
@@ -126,9 +130,30 @@ def repeated(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def may_repeat(bits: bytes, keys: np.ndarray, cells: int) -> np.ndarray:
-    """Which keys the sketch estimates at two or more."""
+    """Which keys the sketch estimates at its least count or more."""
     table = np.frombuffer(bits, dtype=np.uint8)
     out = np.ones(len(keys), dtype=bool)
     for numbers in _cells(keys, cells):
         out &= (table[numbers >> 3] >> (numbers & 7).astype(np.uint8)) & 1 == 1
     return out
+
+
+def _longs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield batch.column(0).to_numpy().view(np.uint64)
+
+
+def member_test(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a long may be among the keys (one long column, no nulls): a Bloom filter that never misses one.
+
+    It parts rows that need a shuffle join from those that pass straight through; its size is bounded like any sketch's.
+    """
+    held = cut(keys)
+    cells = cells_for(held.count(), 8)
+    bits = repeated(held, _longs, cells, least=1)
+
+    @F.pandas_udf("boolean")
+    def test(key: pd.Series) -> pd.Series:
+        return pd.Series(may_repeat(bits.value, key.to_numpy().view(np.uint64), cells))
+
+    return test

@@ -6,10 +6,13 @@ documents agree on it if the same shingles are least and stand in the same order
 
 Similarity of two documents is shared / (all - shared) over labelled shingles, where shared counts those that an alignment
 within a band matches in order. Documents with similarity `threshold` or more are linked, and classes are the connected
-components. Documents with equal words are one node from the start. Buckets of equal signatures are never expanded into
-pairs: each document is aligned with the bucket's smallest one. Where one fails, the bucket's documents go on to an exact prefix
-filter: two documents of similarity t must share one of the first (1 - t) n + 1 shingles in any common order, here
-the rarest first. Documents of its buckets are aligned, a block at a time, unless links join them already.
+components. Documents with equal words are one node from the start.
+
+A node whose signatures no other node has is alone in its class. Among the others, two that are linked have one of their rarest
+shingles in common (prefix filter): with n and m shingles, no matter which, they need a = t / (1 + t) (n + m) in common, so the
+first common one in any order stands before place n - a in one and before m - a in the other. Rarest first is that order, so
+shared passages form no buckets unless they make up nearly all of a document. A bucket's documents are aligned with the one
+that stands in the most and largest buckets, then with a few such, and what links have not joined by then with all others.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ from pyspark.sql import functions as F
 
 from ._kernels import U, mix, rolling, word_hashes
 from ._runtime import cut, doc_key, slices
+from ._sketch import member_test
 
 SHINGLE, SKETCHES, TUPLE = 5, 16, 3
 _SEEDS = mix(np.arange(SKETCHES, dtype=U), 20)
-#: Pairs with one bucket's smallest document that a task gets together.
+#: Pairs with one center that a task gets together.
 _SALT_ROWS = 500
-#: Documents of a bucket that the first and the later rounds of the exact search align with the rest.
-_FIRST_CENTERS, _MOST_CENTERS = 1, 256
+#: Centers of a bucket in the first rounds; the last round takes all documents that are not in the bucket's largest class.
+_CENTERS = (1, 8)
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -117,7 +121,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         (words,), offsets = word_hashes(_lower(batch.column("text")), 1)
         packed = [(words[a:b] >> U(32)).astype("<u4").tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(packed, pa.binary())], names=["doc", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("h"), pa.array(packed, pa.binary())], names=["key", "h", "words"])
 
 
 def _unpacked(words: bytes) -> np.ndarray:
@@ -147,12 +151,6 @@ def _verify(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     return rows.select("doc", "center", "words", "center_words").mapInArrow(_verifier(threshold), "doc long, center long, ok boolean")
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """(bucket, doc, center): each document with the smallest of its bucket."""
-    least = buckets.groupBy("bucket").agg(F.min("doc").alias("center"), F.max("doc").alias("last")).where("center < last").drop("last")
-    return buckets.join(least, "bucket").where("doc > center")
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(doc, root): the smallest member of the connected component of each linked document, by alternating stars.
 
@@ -173,8 +171,99 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
 
 
+def _candidates(scanned: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc, key, h) of the nodes that share a signature with another node."""
+    # Equal words have equal signatures, so the smallest row of each node can speak for it.
+    speakers = scanned.join(nodes, ["d1", "d2"]).where("key = rep and h = rep_h").select("doc", "sigs")
+    buckets = speakers.select("doc", F.explode("sigs").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("bucket")
+    wanted = buckets.join(shared, "bucket", "left_semi").select("doc").distinct()
+    return cut(nodes.join(wanted, "doc", "left_semi").select("doc", F.col("rep").alias("key"), F.col("rep_h").alias("h")))
+
+
+def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, words) of the wanted nodes; texts of other documents do not leave their scan."""
+    maybe = member_test(wanted.select(F.xxhash64("key", "h")))
+    texts = docs.where(maybe(F.xxhash64("key", "h"))).mapInArrow(_word_rows, "key long, h long, words binary")
+    return cut(texts.join(wanted, ["key", "h"]).select("doc", "words").dropDuplicates(["doc"]))
+
+
+def _prefixes(words: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, doc, size, most, weight): the rarest shingles of each node that others have too.
+
+    A node links by the shingle `bucket` only to nodes of up to `most` shingles. weight: the sum of the node's bucket sizes.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, packed in zip(batch.column("doc").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                own = _unpacked(packed).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc)), pa.array(np.full(len(own), len(own), dtype=np.int32)), pa.array(own)], names=["doc", "size", "shingle"])
+
+    rows = words.mapInArrow(split, "doc long, size int, shingle long")
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Shingles of one document only come first in the order and match nothing: only their number matters.
+    shared = rows.join(common, "shingle").groupBy("doc", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
+    alone = F.col("size") - F.size("own")
+    prefix = F.floor((1 - threshold) * F.col("size") + 1e-9).cast("int") + 1 - alone
+    listed = shared.withColumn("prefix", prefix).where("prefix > 0").select("doc", "size", alone.alias("alone"), F.posexplode(F.expr("slice(own, 1, prefix)")).alias("place", "s"))
+    after = F.col("size") - F.col("alone") - F.col("place")  # shingles from this one on
+    entries = cut(listed.select(F.col("s.shingle").alias("bucket"), "doc", "size", (after * ((1 + threshold) / threshold) - F.col("size") + 1e-6).alias("most")))
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = entries.join(sizes, "bucket")
+    weights = entries.groupBy("doc").agg(F.sum("n").alias("weight"))
+    return cut(entries.drop("n").join(weights, "doc").withColumn("root", F.col("doc")))
+
+
+def _round(entries: DataFrame, words: DataFrame, tried: DataFrame | None, centers: int | None, threshold: float) -> DataFrame:
+    """(doc, center, ok) of pairs of one bucket that no link joins yet; entries have the root of each node's class.
+
+    centers: how many of the weightiest members of each bucket are aligned with the others; None: all members that are not in the bucket's largest class.
+    """
+    if centers is None:
+        classes = entries.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        main = classes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main")).select("bucket", F.col("main.root").alias("main"))
+        chosen = entries.join(main, "bucket").where("root <> main")
+    else:
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "doc"))
+        chosen = entries.withColumn("place", place).where(F.col("place") <= centers)
+    chosen = chosen.select("bucket", F.col("doc").alias("center"), F.col("size").alias("center_size"), F.col("most").alias("center_most"), F.col("root").alias("center_root"))
+    possible = (F.col("root") != F.col("center_root")) & (F.col("size") <= F.col("center_most")) & (F.col("center_size") <= F.col("most"))
+    a, b = F.greatest("doc", "center"), F.least("doc", "center")
+    pairs = entries.join(chosen, "bucket").where(possible).select(a.alias("doc"), b.alias("center")).distinct()
+    if tried is not None:
+        pairs = pairs.join(tried, ["doc", "center"], "left_anti")
+    return cut(_verify(cut(pairs, in_loop=True), words, threshold), in_loop=True)
+
+
+def _roots(entries: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """(doc, root) of the nodes that links join to others; a root is the smallest node of its class."""
+    found, tried = None, None
+    for centers in (*_CENTERS, None):
+        open_buckets = entries.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
+        entries = cut(entries.join(open_buckets, "bucket", "left_semi"), in_loop=True)
+        if entries.isEmpty():
+            break
+        checked = _round(entries, words, tried, centers, threshold)
+        tried = checked if tried is None else cut(tried.unionByName(checked), in_loop=True)
+        links = checked.where("ok")
+        if found is not None:  # links between the classes so far
+            known = found.withColumnRenamed("doc", "member")
+            for name in ("doc", "center"):
+                links = links.join(known, F.col(name) == F.col("member"), "left").select(*(F.coalesce("root", name).alias(name) if c == name else F.col(c) for c in ("doc", "center")))
+        joined = components(links, "doc", "center").select(F.col("doc").alias("before"), F.col("root").alias("after"))
+        if found is None:
+            found = joined.select(F.col("before").alias("doc"), F.col("after").alias("root"))
+        else:
+            moved = found.join(joined, F.col("root") == F.col("before"), "left").select("doc", F.coalesce("after", "root").alias("root"))
+            new = joined.join(found, F.col("before") == F.col("doc"), "left_anti").select(F.col("before").alias("doc"), F.col("after").alias("root"))
+            found = cut(moved.unionByName(new), in_loop=True)
+        entries = entries.join(joined, F.col("root") == F.col("before"), "left").withColumn("root", F.coalesce("after", "root")).drop("before", "after")
+    return found
+
+
 def _classified(documents: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(id, key, h, class_id, rep_id, n_links, kept) of each row; h hashes the text, kept: the row that stands for its class.
+    """(id, key, h, class_id, rep_id, kept) of each row; h hashes the text, kept: the row that stands for its class.
 
     A node ("doc" in links and buckets) is a group of rows with equal words. Nodes are numbered in the order of their smallest
     (key, h), so rows that share an id but not their words are different nodes, and the least node has the least id.
@@ -183,98 +272,40 @@ def _classified(documents: DataFrame, id_col: str, text_col: str, threshold: flo
     scanned = cut(docs.mapInArrow(_scan, f"id {documents.schema[id_col].dataType.simpleString()}, key long, h long, d1 long, d2 long, sigs array<long>"))
     nodes = scanned.groupBy("d1", "d2").agg(F.min(F.struct("key", "h")).alias("least")).select("d1", "d2", F.col("least.key").alias("rep"), F.col("least.h").alias("rep_h"))
     nodes = cut(nodes.orderBy("rep", "rep_h", "d1", "d2").withColumn("doc", F.monotonically_increasing_id()))
-    # Equal words have equal signatures, so the smallest row of each node can speak for it.
-    speakers = scanned.join(nodes, ["d1", "d2"]).where("key = rep and h = rep_h")
-    buckets = speakers.select("doc", F.explode("sigs").alias("bucket")).distinct()
-    stars = cut(_stars(buckets))
-    wanted = stars.select("doc").unionByName(stars.select(F.col("center").alias("doc"))).distinct()
-    wanted = nodes.join(wanted, "doc", "left_semi").select("doc", F.col("rep").alias("key"), F.col("rep_h").alias("h"))
-    candidates = docs.select("key", "h", "text").join(wanted.hint("shuffle_hash"), ["key", "h"]).select("doc", "text")
-    words = cut(candidates.mapInArrow(_word_rows, "doc long, words binary")).dropDuplicates(["doc"])
-    checked = cut(_verify(stars.select("doc", "center").distinct(), words, threshold))
-    links = checked.where("ok").select("doc", "center")
-    links = links.unionByName(_exact_links(_suspects(stars, checked), words, checked, threshold))
-    links = cut(links.distinct())
-    roots = components(links, "doc", "center")
-    degree = links.select("doc").unionByName(links.select(F.col("center").alias("doc"))).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = roots.join(degree, "doc", "full").withColumn("root", F.coalesce("root", "doc"))
-    linked = linked.join(nodes.select(F.col("doc").alias("root"), F.col("rep").alias("class_id")), "root")
-    classes = nodes.join(linked, "doc", "left").select("d1", "d2", "rep", "rep_h", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce(F.col("root") == F.col("doc"), F.lit(True)).alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    words = _words_of(docs.select("key", "h", "text"), _candidates(scanned, nodes))
+    roots = _roots(_prefixes(words, threshold), words, threshold)
+    if roots is None:
+        classes = nodes.select("d1", "d2", "rep", "rep_h", F.col("rep").alias("class_id"), F.lit(True).alias("first"))
+    else:
+        linked = roots.join(nodes.select(F.col("doc").alias("root"), F.col("rep").alias("class_id")), "root")
+        classes = nodes.join(linked, "doc", "left").select("d1", "d2", "rep", "rep_h", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce(F.col("root") == F.col("doc"), F.lit(True)).alias("first"))
     rows = scanned.select("id", "key", "h", "d1", "d2").join(classes, ["d1", "d2"])
-    return rows.select("id", "key", "h", "class_id", F.col("rep").alias("rep_id"), "n_links", (F.col("first") & (F.col("key") == F.col("rep")) & (F.col("h") == F.col("rep_h"))).alias("kept"))
+    return rows.select("id", "key", "h", "class_id", F.col("rep").alias("rep_id"), (F.col("first") & (F.col("key") == F.col("rep")) & (F.col("h") == F.col("rep_h"))).alias("kept"))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """Classes of near-duplicate documents; one row for each input row.
 
-    Returns id_col, class_id (the smallest id in the class), rep_id (the smallest id with the same words) and n_links (verified
-    links of rep_id's words that the search found). Words are the lower-case runs of characters other than ASCII white space. Texts
+    Returns id_col, class_id (the smallest id in the class) and rep_id (the smallest id with the same words). Words are the
+    lower-case runs of characters other than ASCII white space. Texts
     shorter than five words are one shingle; null and empty texts have the same (no) words and are one class. Null ids share the
     largest value as class member. Rows that share an id but not their text are documents of their own, whose classes may have
     the same class_id; repeated rows get equal results. An empty table gives an empty table.
     """
-    return _classified(documents, id_col, text_col, threshold).select(F.col("id").alias(id_col), "class_id", "rep_id", "n_links")
-
-
-def _suspects(stars: DataFrame, checked: DataFrame) -> DataFrame:
-    """All documents of the buckets in which one failed against the smallest: it may still be linked to any of the others."""
-    open_buckets = stars.join(checked.where("not ok").select("doc", "center"), ["doc", "center"]).select("bucket").distinct()
-    rows = stars.join(open_buckets, "bucket", "left_semi")
-    return cut(rows.select("doc").unionByName(rows.select(F.col("center").alias("doc"))).distinct())
-
-
-def _exact_links(suspects: DataFrame, words: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
-    """Links that join all linked suspects, by the prefix filter; tried has (doc, center, ok) of the pairs aligned before.
-
-    Each round aligns the smallest documents of each bucket with those of the bucket that no link joins to them yet, and takes
-    them out. Buckets of one class are done. Later rounds take more documents at once, so that rounds stay few.
-    """
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, packed in zip(batch.column("doc").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                own = _unpacked(packed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc)), pa.array(own)], names=["doc", "shingle"])
-
-    all_shingles = words.join(suspects, "doc", "left_semi").mapInArrow(split, "doc long, shingle long")
-    counts = all_shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    common = counts.where("n > 1")
-    sizes = all_shingles.groupBy("doc").agg(F.count(F.lit(1)).alias("size"))
-    # Shingles of one document only come first in the order and match nothing: only their number matters.
-    shared = all_shingles.join(common, "shingle").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
-    prefix = F.floor((1 - threshold) * F.col("size") + 1e-9).cast("int") + 1 - (F.col("size").cast("int") - F.size("own"))
-    buckets = shared.join(sizes, "doc").withColumn("prefix", prefix).where("prefix > 0").select("doc", F.explode(F.expr("slice(own, 1, prefix)")).alias("s")).select("doc", F.col("s.shingle").alias("bucket"))
-    # One bucket is enough of those with the same documents: they are told by their count and sums of the documents' hashes.
-    named = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("n > 1")
-    buckets = cut(buckets.join(named.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")), "bucket", "left_semi"), in_loop=True)
-    found, at_once = tried.where("ok").select("doc", "center"), _FIRST_CENTERS
-    while True:
-        roots = components(found, "doc", "center").select("doc", "root")
-        members = buckets.join(roots, "doc", "left").select("doc", "bucket", F.coalesce("root", "doc").alias("root"))
-        open_buckets = members.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-        members = cut(members.join(open_buckets, "bucket", "left_semi"), in_loop=True)
-        if members.isEmpty():
-            return found
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("doc"))
-        centers = cut(members.withColumn("place", place).where(F.col("place") <= at_once).select("bucket", F.col("doc").alias("center"), F.col("root").alias("center_root")), in_loop=True)
-        pairs = members.join(centers, "bucket").where("doc > center and root <> center_root").select("doc", "center").distinct()
-        checked = cut(_verify(cut(pairs.join(tried, ["doc", "center"], "left_anti"), in_loop=True), words, threshold), in_loop=True)
-        tried = cut(tried.unionByName(checked), in_loop=True)
-        found = tried.where("ok").select("doc", "center")
-        done = centers.select("bucket", F.col("center").alias("doc"))
-        buckets = members.select("doc", "bucket").join(done, ["bucket", "doc"], "left_anti")
-        at_once = min(4 * at_once, _MOST_CENTERS)
+    return _classified(documents, id_col, text_col, threshold).select(F.col("id").alias(id_col), "class_id", "rep_id")
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One document of each class of near_duplicates, the one with the smallest id; all columns stay.
 
-    Rows are told apart by id and text; rows equal in both stay or go together.
+    Rows are told apart by id and text; rows equal in both stay or go together. Rows that no class drops pass straight through.
     """
-    dropped = _classified(documents, id_col, text_col, threshold).where("not kept").select(F.col("key").alias("_lumenlog_a"), F.col("h").alias("_lumenlog_b")).distinct()
-    keyed = documents.withColumn("_lumenlog_key", doc_key(id_col)).withColumn("_lumenlog_h", F.xxhash64(F.col(text_col).cast("string")))
-    same = (F.col("_lumenlog_key") == F.col("_lumenlog_a")) & (F.col("_lumenlog_h") == F.col("_lumenlog_b"))
-    return keyed.join(dropped.hint("shuffle_hash"), same, "left_anti").drop("_lumenlog_key", "_lumenlog_h")
+    dropped = cut(_classified(documents, id_col, text_col, threshold).where("not kept").select(F.col("key").alias("_lumenlog_a"), F.col("h").alias("_lumenlog_b")).distinct())
+    key, h = doc_key(id_col), F.xxhash64(F.col(text_col).cast("string"))
+    maybe = member_test(dropped.select(F.xxhash64("_lumenlog_a", "_lumenlog_b")))(F.xxhash64(key, h))
+    suspects = documents.where(maybe)
+    kept = suspects.join(dropped.hint("shuffle_hash"), (key == F.col("_lumenlog_a")) & (h == F.col("_lumenlog_b")), "left_anti")
+    return documents.where(~maybe).unionByName(kept)
 
 
 def brute_force(rows: list[tuple[int, str | None]], threshold: float = 0.8) -> dict[int, int]:
