@@ -57,6 +57,15 @@ def cut(df: DataFrame, in_loop: bool = False) -> DataFrame:
     return out
 
 
+#: Rows of a few longs that one task takes.
+TASK_ROWS = 100_000
+
+
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as its rows need, where it has more: loops over few rows then need few tasks, or no exchange at all."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -122,7 +122,8 @@ def repeated(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterat
     done = level.groupBy("segment").agg(*lists).mapInArrow(_bits_of(least), "segment int, bits binary")
     whole = bytearray(ROWS * cells // 8)
     size = _SEGMENT // 8
-    for row in done.toLocalIterator():
+    # The bits come in pieces of about 16 MB, a job for each.
+    for row in done.coalesce(max(1, len(whole) >> 24)).toLocalIterator():
         whole[row.segment * size : (row.segment + 1) * size] = row.bits
     del parts, level, done
     release(df.sparkSession)

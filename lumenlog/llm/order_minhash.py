@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._kernels import U, mix, rolling, word_hashes
-from ._runtime import cut, doc_key, slices
+from ._runtime import cut, doc_key, fitted, slices
 from ._sketch import member_test
 
 SHINGLE, SKETCHES, TUPLE = 5, 16, 3
@@ -159,16 +159,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), in_loop=True)
     before = None
     while True:
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        edges = fitted(edges, now[0])
+        if now == before or not now[0]:
+            return edges.select(F.col("u").alias("doc"), F.col("v").alias("root"))
+        before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = fitted(both, 2 * now[0])
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = cut(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), in_loop=True)
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == before:
-            return edges.select(F.col("u").alias("doc"), F.col("v").alias("root"))
-        before = now
+        pairs = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = cut(small.select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), in_loop=True)
 
 
 def _candidates(scanned: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -176,7 +179,8 @@ def _candidates(scanned: DataFrame, nodes: DataFrame) -> DataFrame:
     # Equal words have equal signatures, so the smallest row of each node can speak for it.
     speakers = scanned.join(nodes, ["d1", "d2"]).where("key = rep and h = rep_h").select("doc", "sigs")
     buckets = speakers.select("doc", F.explode("sigs").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("bucket")
+    # Tables of shared keys are cut: next to a table, Spark can split the rows of a key that many have.
+    shared = cut(buckets.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("bucket"))
     wanted = buckets.join(shared, "bucket", "left_semi").select("doc").distinct()
     return cut(nodes.join(wanted, "doc", "left_semi").select("doc", F.col("rep").alias("key"), F.col("rep_h").alias("h")))
 
@@ -201,7 +205,7 @@ def _prefixes(words: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc)), pa.array(np.full(len(own), len(own), dtype=np.int32)), pa.array(own)], names=["doc", "size", "shingle"])
 
     rows = words.mapInArrow(split, "doc long, size int, shingle long")
-    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     # Shingles of one document only come first in the order and match nothing: only their number matters.
     shared = rows.join(common, "shingle").groupBy("doc", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
     alone = F.col("size") - F.size("own")
@@ -209,7 +213,7 @@ def _prefixes(words: DataFrame, threshold: float) -> DataFrame:
     listed = shared.withColumn("prefix", prefix).where("prefix > 0").select("doc", "size", alone.alias("alone"), F.posexplode(F.expr("slice(own, 1, prefix)")).alias("place", "s"))
     after = F.col("size") - F.col("alone") - F.col("place")  # shingles from this one on
     entries = cut(listed.select(F.col("s.shingle").alias("bucket"), "doc", "size", (after * ((1 + threshold) / threshold) - F.col("size") + 1e-6).alias("most")))
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     entries = entries.join(sizes, "bucket")
     weights = entries.groupBy("doc").agg(F.sum("n").alias("weight"))
     return cut(entries.drop("n").join(weights, "doc").withColumn("root", F.col("doc")))
@@ -233,32 +237,36 @@ def _round(entries: DataFrame, words: DataFrame, tried: DataFrame | None, center
     pairs = entries.join(chosen, "bucket").where(possible).select(a.alias("doc"), b.alias("center")).distinct()
     if tried is not None:
         pairs = pairs.join(tried, ["doc", "center"], "left_anti")
-    return cut(_verify(cut(pairs, in_loop=True), words, threshold), in_loop=True)
+    pairs = cut(pairs, in_loop=True)
+    checked = cut(_verify(fitted(pairs, pairs.count()), words, threshold), in_loop=True)
+    return fitted(checked, checked.count())
 
 
-def _roots(entries: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """(doc, root) of the nodes that links join to others; a root is the smallest node of its class."""
+def _roots(entries: DataFrame, words: DataFrame, threshold: float) -> DataFrame | None:
+    """(doc, root) of the nodes that links join to others; a root is the smallest node of its class. None without any."""
     found, tried = None, None
     for centers in (*_CENTERS, None):
-        open_buckets = entries.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
+        open_buckets = cut(entries.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket"), in_loop=True)
         entries = cut(entries.join(open_buckets, "bucket", "left_semi"), in_loop=True)
-        if entries.isEmpty():
+        left = entries.count()
+        if not left:
             break
+        entries = fitted(entries, left)
         checked = _round(entries, words, tried, centers, threshold)
+        links = checked.where("ok").select("doc", "center")
         tried = checked if tried is None else cut(tried.unionByName(checked), in_loop=True)
-        links = checked.where("ok")
         if found is not None:  # links between the classes so far
-            known = found.withColumnRenamed("doc", "member")
             for name in ("doc", "center"):
-                links = links.join(known, F.col(name) == F.col("member"), "left").select(*(F.coalesce("root", name).alias(name) if c == name else F.col(c) for c in ("doc", "center")))
-        joined = components(links, "doc", "center").select(F.col("doc").alias("before"), F.col("root").alias("after"))
-        if found is None:
-            found = joined.select(F.col("before").alias("doc"), F.col("after").alias("root"))
-        else:
-            moved = found.join(joined, F.col("root") == F.col("before"), "left").select("doc", F.coalesce("after", "root").alias("root"))
-            new = joined.join(found, F.col("before") == F.col("doc"), "left_anti").select(F.col("before").alias("doc"), F.col("after").alias("root"))
-            found = cut(moved.unionByName(new), in_loop=True)
-        entries = entries.join(joined, F.col("root") == F.col("before"), "left").withColumn("root", F.coalesce("after", "root")).drop("before", "after")
+                other = "center" if name == "doc" else "doc"
+                known = found.select(F.col("doc").alias("_member"), "root")
+                links = links.join(known, F.col(name) == F.col("_member"), "left").select(F.coalesce("root", name).alias(name), other)
+        joined = components(links, "doc", "center").select(F.col("doc").alias("_before"), F.col("root").alias("_after"))
+        new = joined.select(F.col("_before").alias("doc"), F.col("_after").alias("root"))
+        if found is not None:
+            moved = found.join(joined, F.col("root") == F.col("_before"), "left").select("doc", F.coalesce("_after", "root").alias("root"))
+            new = cut(moved.unionByName(new.join(found, "doc", "left_anti")), in_loop=True)
+        found = fitted(new, new.count())
+        entries = entries.join(joined, F.col("root") == F.col("_before"), "left").withColumn("root", F.coalesce("_after", "root")).drop("_before", "_after")
     return found
 
 
