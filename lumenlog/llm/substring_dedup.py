@@ -1,10 +1,11 @@
 """Removal of long passages that repeat across documents, with a count-min prefilter.
 
-A window is `width` consecutive words of one document. Pass 1 counts, for each document, the anchors of its windows
-(see `_kernels.anchors`) in a count-min sketch; a window's anchor is counted at least as often as the window, so the merged
-partition sketches overestimate window counts. Pass 2 emits only the windows whose estimate is two or more, as 128-bit
-hashes, and groups them exactly: no repeated window is lost. About one position in fourteen is an anchor, so the first
-pass is light, and unique text never leaves its scan but for the final join on the document.
+A window is `width` consecutive words of one document. Rows whose whole text has a smaller copy are set apart first
+(`_copies`). Pass 1 counts, for each other document, the anchors of its windows (see `_kernels.anchors`) in a count-min sketch; a
+window's anchor is counted at least as often as the window, so the merged partition sketches overestimate window counts. Pass 2
+emits only the windows whose estimate is two or more, as 128-bit hashes, and groups them exactly: no repeated window is
+lost. With grams of half a window about one position in fourteen is an anchor, so the sketch needs a fourteenth of the cells that
+the windows would; with `gram` equal to `width` each window is its own anchor and the sketch counts windows themselves.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._copies import keyed, set_apart, with_spans
 from ._kernels import Block, anchors, rolling, word_blocks, word_hashes
-from ._runtime import cut, doc_key, slices
+from ._runtime import cut, slices
 from ._sketch import cells_for, may_repeat, repeated
 
 _WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("at", pa.int32())])
@@ -44,7 +46,7 @@ def _windows_with(block: Block, chosen: np.ndarray, gram: int, width: int) -> np
     return at[(at >= block.low[piece]) & (at < block.high[piece]) & (at + width <= block.end[piece])]
 
 
-def remove_repeated_windows(documents: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_windows(documents: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int | None = None) -> DataFrame:
     """Remove each word covered by a window whose words also start in a document with a smaller id.
 
     Words are the runs of characters other than ASCII white space. Returns id_col, text_col (the kept words joined by one
@@ -52,10 +54,9 @@ def remove_repeated_windows(documents: DataFrame, width: int = 50, id_col: str =
     shorter than a window keep all. Null ids count as the largest id. Rows that share an id are one document where ids are
     compared: a window never repeats within it; each row loses its own text's words only, and repeated rows get equal results. An empty table gives an empty table.
     """
-    spark = documents.sparkSession
-    gram = (width + 1) // 2
+    gram = gram or (width + 1) // 2
     halo = 2 * width
-    docs = documents.select(doc_key(id_col).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
+    docs, copies = set_apart(keyed(documents, id_col, text_col))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # A word and the space after it take about six bytes; an anchor stands for (width - gram + 2) / 2 words.
     cells = cells_for(int(size / 6 / ((width - gram + 2) / 2)) + 1)
@@ -95,15 +96,19 @@ def remove_repeated_windows(documents: DataFrame, width: int = 50, id_col: str =
 
     windows = docs.select("doc", "t", "text").mapInArrow(candidates, "h1 long, h2 long, doc long, t long, at int")
     first = cut(windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"))
-    covered = windows.join(first, ["h1", "h2"]).where("doc > first").groupBy("doc", "t").agg(F.collect_list("at").alias("starts"))
+    covered = windows.join(first, ["h1", "h2"]).where("doc > first").groupBy("doc", "t").agg(F.collect_list("at").alias("spans"))
+    rows = with_spans(docs, cut(covered)).select("id", "text", "spans", F.lit(False).alias("copy"))
+    rows = rows.unionByName(copies.select("id", "text", F.lit(None).cast("array<int>").alias("spans"), F.lit(True).alias("copy")))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts, n_words, n_removed = [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts"), strict=True):
+            for text, starts, copy in zip(batch.column("text").to_pylist(), batch.column("spans"), batch.column("copy").to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 gone = 0
-                if starts.is_valid and words:
+                if copy and len(words) >= width:
+                    keep, gone = b"", len(words)
+                elif starts.is_valid and words:
                     edge = np.zeros(len(words) + width + 1, dtype=np.int32)
                     at = np.unique(starts.values.to_numpy())
                     edge[at] += 1
@@ -118,9 +123,8 @@ def remove_repeated_windows(documents: DataFrame, width: int = 50, id_col: str =
                 n_removed.append(gone)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[id_col, text_col, "n_words", "n_removed"])
 
-    joined = docs.join(covered.hint("shuffle_hash"), ["doc", "t"], "left").select("id", "text", "starts")
     kind = documents.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(kept, f"`{id_col}` {kind}, `{text_col}` string, n_words long, n_removed long")
+    return rows.mapInArrow(kept, f"`{id_col}` {kind}, `{text_col}` string, n_words long, n_removed long")
 
 
 def digest(result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
