@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import cut, slices
-from ._sketch import cells_for, may_repeat, repeated
+from ._sketch import cells_for, may_repeat, member_test, repeated
 
 _WHITE = b" \t\n\x0b\x0c\r"
 _ROWS = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
@@ -37,7 +37,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 def _grouped(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, h, keep_id, group_size, kept, twin, digest) of each row; h hashes the text, twin: dropped, but equal to the row that stays."""
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
-    rows = cut(docs.mapInArrow(_digests, "id long, h long, n long, digest binary"))
+    # The checkpoint fixes the row numbers, which settle which of several fully equal rows stays.
+    rows = cut(docs.mapInArrow(_digests, "id long, h long, n long, digest binary").withColumn("row", F.monotonically_increasing_id()))
     cells = cells_for(rows.count(), 8)
     seen = repeated(rows.select("digest"), _keys, cells)
 
@@ -46,18 +47,15 @@ def _grouped(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for keys in _keys(iter([batch])):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may_repeat(seen.value, keys, cells))], names=[*batch.schema.names, "again"])
 
-    marked = cut(rows.mapInArrow(flagged, "id long, h long, n long, digest binary, again boolean"))
+    marked = cut(rows.mapInArrow(flagged, "id long, h long, n long, digest binary, row long, again boolean"))
     alone = marked.where("not again").select("id", "h", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(False).alias("twin"), "digest")
-    # Of fully equal rows (digest, id, n, h) any one can stay: they are counted first and numbered afterwards.
-    counted = marked.where("again").groupBy("digest", "id", "n", "h").agg(F.count(F.lit(1)).alias("copies"))
-    order = F.struct(F.col("n").alias("n"), F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("id"), F.col("h").alias("h"))
-    best = counted.groupBy("digest").agg(F.sum("copies").alias("group_size"), F.max(order).alias("best"))
-    best = best.select("digest", "group_size", (-F.col("best.id")).alias("keep_id"), F.col("best.n").alias("keep_n"), F.col("best.h").alias("keep_h"))
-    same = (F.col("n") == F.col("keep_n")) & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))
-    joined = counted.join(best, "digest").withColumn("same", same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    kept = F.col("same") & (F.col("copy") == 1)
-    again = joined.select("id", "h", "keep_id", "group_size", kept.alias("kept"), (F.col("same") & ~kept).alias("twin"), "digest")
-    return alone.unionByName(again)
+    order = F.struct(F.col("n").alias("n"), F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("id"), F.col("h").alias("h"), (-F.col("row")).alias("row"))
+    again = marked.where("again")
+    # One row for each digest; a table of its own, so that Spark can split the rows of a digest that many have.
+    best = cut(again.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max(order).alias("best")).select("digest", "group_size", (-F.col("best.id")).alias("keep_id"), F.col("best.h").alias("keep_h"), (-F.col("best.row")).alias("keep_row")))
+    kept = F.col("row") == F.col("keep_row")
+    twin = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")) & ~kept
+    return alone.unionByName(again.join(best, "digest").select("id", "h", "keep_id", "group_size", kept.alias("kept"), twin.alias("twin"), "digest"))
 
 
 def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,16 +72,20 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents without the rows that exact_groups drops; all columns stay.
 
-    Rows are told apart by id and text. Of rows equal in both, all but one go, in the order that Spark meets them.
+    Rows are told apart by id and text. Of rows equal in both, all but one go, in the order that Spark meets them. Rows that may
+    go take part in a join; the rest, which a Bloom filter tells, pass straight through.
     """
     rows = _grouped(documents, id_col, text_col).where("not kept")
-    keyed = documents.withColumn("_lumenlog_id", F.col(id_col).cast("long")).withColumn("_lumenlog_h", F.xxhash64(F.col(text_col).cast("string")))
-    gone = rows.groupBy(F.col("id").alias("_lumenlog_a"), F.col("h").alias("_lumenlog_b")).agg(F.max("twin").alias("_lumenlog_twin"))
+    gone = cut(rows.groupBy(F.col("id").alias("_lumenlog_a"), F.col("h").alias("_lumenlog_b")).agg(F.max("twin").alias("_lumenlog_twin")))
+    key, h = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    maybe = member_test(gone.select(F.xxhash64("_lumenlog_a", "_lumenlog_b")))(F.xxhash64(key, h))
+    held = documents.where(maybe).withColumn("_lumenlog_id", key).withColumn("_lumenlog_h", h)
     same = F.col("_lumenlog_id").eqNullSafe(F.col("_lumenlog_a")) & (F.col("_lumenlog_h") == F.col("_lumenlog_b"))
-    marked = keyed.join(gone.hint("shuffle_hash"), same, "left")
-    plain = marked.where("_lumenlog_twin is null").select(*(F.col(f"`{c}`") for c in documents.columns))
-    doubled = marked.where("_lumenlog_twin").dropDuplicates(["_lumenlog_id", "_lumenlog_h"]).select(*(F.col(f"`{c}`") for c in documents.columns))
-    return plain.unionByName(doubled)
+    marked = held.join(gone.hint("shuffle_hash"), same, "left")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    plain = marked.where("_lumenlog_twin is null").select(*columns)
+    doubled = marked.where("_lumenlog_twin").dropDuplicates(["_lumenlog_id", "_lumenlog_h"]).select(*columns)
+    return documents.where(~maybe).unionByName(plain).unionByName(doubled)
 
 
 ORACLE = r"""
