@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._kernels import mix, word_hashes
@@ -38,15 +39,31 @@ def topics_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return sizes, np.where(sizes > 0, counts.argmax(axis=1), -1)
 
 
-def describe(documents: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
-    """(id, source, lang, topic, tokens) of each row; a null source or language is a value of its own."""
+def hashed_topic(text: Column) -> Column:
+    """topics_of as a column; the stand-in for a topic where the table has none."""
+
+    @F.pandas_udf("string")
+    def topic(texts: pd.Series) -> pd.Series:
+        return pd.Series([f"t{t}" if t >= 0 else "" for t in topics_of(pa.array(texts, pa.large_string(), from_pandas=True))[1]])
+
+    return topic(text)
+
+
+def _value(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("(null)"))
+
+
+def describe(documents: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_col: str | None = None) -> DataFrame:
+    """(id, source, lang, topic, tokens) of each row; a null source, language or topic is a value of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sizes, topic = topics_of(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), batch.column("lang"), pa.array([f"t{t}" if t >= 0 else "" for t in topic], pa.string()), pa.array(sizes)], names=["id", "source", "lang", "topic", "tokens"])
+            topics = batch.column("topic") if topic_col else pa.array([f"t{t}" if t >= 0 else "" for t in topic], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), batch.column("lang"), topics, pa.array(sizes)], names=["id", "source", "lang", "topic", "tokens"])
 
-    docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("(null)")).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("(null)")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    topic = _value(topic_col) if topic_col else F.lit("")
+    docs = documents.select(F.col(id_col).alias("id"), _value(source_col).alias("source"), _value(lang_col).alias("lang"), topic.alias("topic"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(run, f"id {documents.schema[id_col].dataType.simpleString()}, source string, lang string, topic string, tokens long")
 
 
@@ -223,7 +240,18 @@ def fit_share(sums: Sums, totals: list[np.ndarray], targets: list[np.ndarray], s
     return best
 
 
-def calibrated(cells: DataFrame, exponents: dict[str, float], share: float) -> DataFrame:
+def wanted(found: dict[str, float], given: dict[str, float] | None, exponent: float) -> dict[str, float]:
+    """Target shares of the values found: the given weights (none: 0) to a sum of 1, or else the tempered shares."""
+    if given is None:
+        return tempered(found, exponent)
+    weights = {k: float(given.get(k, 0.0)) for k in found}
+    whole = sum(weights.values())
+    if whole <= 0 or min(weights.values()) < 0:
+        raise ValueError("targets must be non-negative and name a value that has tokens")
+    return {k: v / whole for k, v in weights.items()}
+
+
+def calibrated(cells: DataFrame, exponents: dict[str, float], share: float, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Cells (dimensions, tokens) with probability."""
     spark = cells.sparkSession
     cells = cut(cells)
@@ -232,7 +260,7 @@ def calibrated(cells: DataFrame, exponents: dict[str, float], share: float) -> D
     totals, targets, values = [], [], []
     for name in DIMENSIONS:
         found = dict(sorted((r[0], float(r[1])) for r in some.groupBy(name).agg(F.sum("tokens")).collect()))
-        goal = tempered(found, exponents.get(name, 1.0))
+        goal = wanted(found, (given or {}).get(name), exponents.get(name, 1.0)) if found else {}
         values.append((name, list(found)))
         totals.append(np.array(list(found.values())))
         targets.append(np.array([goal[x] for x in found]))
@@ -258,22 +286,33 @@ EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 SHARE = 0.5
 
 
-def mix_sources(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", exponents: dict[str, float] | None = None, share: float = SHARE, seed: int = 11) -> DataFrame:
+def _uniform(seed: int, key: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) / F.lit(float(1 << 53))
+
+
+def mix_sources(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None,
+    targets: dict[str, dict[str, float]] | None = None, exponents: dict[str, float] | None = None, share: float = SHARE, seed: int = 11,
+) -> DataFrame:
     """Inclusion of each document in a sample with target shares of source, language and topic; one row for each input row.
 
-    Returns id_col, source, lang, topic, n_tokens, probability and kept. Targets are the dimensions' token shares to the powers
-    in exponents, and the sample has them in expectation. It has the given share of all tokens, or the largest smaller one at which
+    Returns id_col, source, lang, topic, n_tokens, probability and kept. targets has weights of values by dimension ("source",
+    "lang", "topic"; a value that a named dimension leaves out gets 0). The targets of a dimension without them are its token shares to the power
+    in exponents. The sample has its targets in expectation. It has the given share of all tokens, or the largest smaller one at which
     no probability exceeds 1 (a value cannot give more tokens than it has); mix_report tells what is reached. A document is kept if a uniform hash of its id and
-    the seed is below its probability, so repeated rows stay or go together, and results do not depend on partitions. Null sources and
-    languages are values of their own, named (null). Documents without words have topic '' and probability 1. Null ids hash
-    like any value. An empty table gives an empty table.
+    the seed is below its probability, so repeated rows stay or go together, and results do not depend on partitions. Null sources,
+    languages and topics are values of their own, named (null). Without topic_col the topic is a stand-in (topics_of). Documents
+    without words have probability 1. Null ids hash like any value. An empty table gives an empty table.
     """
-    rows = cut(describe(documents, id_col, text_col, source_col, lang_col))
+    rows = cut(describe(documents, id_col, text_col, source_col, lang_col, topic_col))
+    p = _probabilities(rows, targets, exponents, share)
+    out = rows.join(p, list(DIMENSIONS), "left").withColumn("probability", F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(1.0))).otherwise(1.0))
+    return out.select(F.col("id").alias(id_col), "source", "lang", "topic", F.col("tokens").alias("n_tokens"), "probability", (_uniform(seed, F.col("id")) < F.col("probability")).alias("kept"))
+
+
+def _probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] | None, exponents: dict[str, float] | None, share: float) -> DataFrame:
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    p = calibrated(cells, EXPONENTS if exponents is None else exponents, share)
-    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(1 << 53))
-    out = rows.join(p, list(DIMENSIONS), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
-    return out.select(F.col("id").alias(id_col), "source", "lang", "topic", F.col("tokens").alias("n_tokens"), "probability", (uniform < F.col("probability")).alias("kept"))
+    return calibrated(cells, EXPONENTS if exponents is None else exponents, share, targets)
 
 
 def mix_report(result: DataFrame, exponents: dict[str, float] | None = None) -> DataFrame:
@@ -288,7 +327,24 @@ def mix_report(result: DataFrame, exponents: dict[str, float] | None = None) ->
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def keep_sample(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that mix_sources keeps, with all their columns. Null ids are compared as equal."""
-    dropped = mix_sources(documents, id_col, **options).where("not kept").select(F.col(id_col).alias("_lumenlog_dropped")).distinct()
-    return documents.join(dropped, documents[id_col].eqNullSafe(F.col("_lumenlog_dropped")), "left_anti")
+def keep_sample(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None,
+    targets: dict[str, dict[str, float]] | None = None, exponents: dict[str, float] | None = None, share: float = SHARE, seed: int = 11,
+) -> DataFrame:
+    """The rows that mix_sources keeps, with all their columns.
+
+    Each row is decided where it is read: its cell's probability comes from the table of cells (which Spark broadcasts if it is
+    small by its size), and the hash of its id is compared with that; rows are not shuffled then.
+    """
+    p = cut(_probabilities(describe(documents, id_col, text_col, source_col, lang_col, topic_col), targets, exponents, share))
+    names = [f"_lumenlog_{n}" for n in range(5)]
+    while set(names) & set(documents.columns):
+        names = [f"_{n}" for n in names]
+    p = p.select(*(F.col(c).alias(n) for c, n in zip((*DIMENSIONS, "probability"), names[:4], strict=True)))
+    text = F.col(text_col).cast("string")
+    topic = _value(topic_col) if topic_col else hashed_topic(text)
+    rows = documents.withColumn(names[4], topic)
+    same = (_value(source_col) == F.col(names[0])) & (_value(lang_col) == F.col(names[1])) & (F.col(names[4]) == F.col(names[2]))
+    chance = F.when(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.coalesce(F.col(names[3]), F.lit(1.0))).otherwise(1.0)
+    kept = rows.join(p, same, "left").where(_uniform(seed, F.col(id_col)) < chance)
+    return kept.select(*(F.col(f"`{c}`") for c in documents.columns))
