@@ -22,16 +22,21 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset(
     "html body head address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption legend button label".split()
 )
+#: Ancestors that get points of a paragraph.
+_ANCESTORS = 12
 #: What an opening tag closes, and the elements beyond which it does not look.
 _CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tbody": ("tbody thead tfoot tr td th", ("table",)), "tfoot": ("tbody thead tr td th", ("table",))}
 _CLOSES_P = _BLOCK - {"html", "body", "head", "button", "label", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _DROPPED = frozenset("nav footer aside form dialog menu search button label fieldset head".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Whole words of class and id names; a word that only begins like one of them (football, shareholder) is none.
 _BAD = re.compile(
-    r"(?:^|[-_\s])(?:nav\w*|menu\w*|side-?bar\w*|foot(?:er)?\w*|comments?\w*|disqus\w*|respon[ds]e?|repl(?:y|ies)|ads?|advert\w*|adsense|adv|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent\w*|gdpr\w*|notices?|alert\w*|notification\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|breadcrumbs?|pag(?:er|ination)|widget\w*|toolbar\w*|tags|meta|byline|disclaimer|copyright|legal|skip\w*|hidden|outbrain|taboola)(?=$|[-_\s\d])",
+    r"(?:^|[-_\s])(?:nav(?:bar|igation|menu)?s?|(?:sub|main|top|site)?nav|(?:sub|main|top|site)?menus?|side-?bars?|foot|(?:page|site)?footers?|comments?|commentlist|disqus\w*|respon[ds]e?|repl(?:y|ies)|ads?|advert(?:s|isement|isements|ising|orial)?|adsense|adv|banners?|promos?|promotions?|promoted|sponsor(?:s|ed|ship)?|cookies?|cookie(?:bar|banner|notice)|consent|gdpr|notices?|alerts?|notifications?|popups?|modals?|overlays?|newsletters?|subscri(?:be|ption|ptions)|signup|login|shares?|sharing|share(?:bar|buttons?|links?)|socials?|social(?:bar|links?|media|share)|related|recommend(?:ed|ations?)|breadcrumbs?|pag(?:er|ination)|widgets?|toolbars?|tags|meta|byline|disclaimer|copyright|legal|skip(?:link|nav)?|hidden|outbrain|taboola)(?=$|[-_\s\d])",
     re.I,
 )
 _HEADER = re.compile(r"(?:^|[-_\s])(?:(?:page|site|top|global|main|mast)[-_]?head(?:er)?|(?<!entry.)(?<!article.)(?<!post.)(?<!story.)(?<!content.)header|masthead)(?=$|[-_\s\d])", re.I)
+#: Names that a paragraph within an article may have and yet be part of it.
+_OWN = re.compile(r"(?:^|[-_\s])(?:legal|disclaimer|copyright|alerts?|respon[ds]e?|repl(?:y|ies)|meta)(?=$|[-_\s\d])", re.I)
 #: Names of boilerplate that may hold more prose than the article.
 _PROSE = re.compile(r"(?:^|[-_\s])(?:comments?|disqus|respon[ds]|repl(?:y|ies)|cookie|consent|gdpr|popup|modal|overlay|newsletter|disclaimer|copyright|legal)", re.I)
 #: Share of a page's prose that only an element around its main text holds.
@@ -50,11 +55,31 @@ class _Node:
         self.suspect = ""
 
 
-def _is_boilerplate(tag: str, found: dict[str, str], stack: list[_Node]) -> bool:
+class _Stack(list):
+    """Open elements, with the number of each tag's, so that deep markup is not searched for what it has not."""
+
+    def __init__(self, root: _Node):
+        super().__init__([root])
+        self.counts: dict[str, int] = {root.tag: 1}
+
+    def push(self, node: _Node) -> None:
+        self.append(node)
+        self.counts[node.tag] = self.counts.get(node.tag, 0) + 1
+
+    def cut(self, n: int) -> None:
+        """Close the elements from the n-th on."""
+        while len(self) > n:
+            self.counts[self.pop().tag] -= 1
+
+    def has(self, *tags: str) -> bool:
+        return any(self.counts.get(t) for t in tags)
+
+
+def _is_boilerplate(tag: str, found: dict[str, str], inside: bool) -> bool:
     if tag in _DROPPED:
         return True
     if tag == "header":
-        return not any(n.tag in ("article", "main") for n in stack)
+        return not inside
     if tag in ("html", "body"):
         return False
     if found.get("role", "").lower() in _DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
@@ -62,12 +87,13 @@ def _is_boilerplate(tag: str, found: dict[str, str], stack: list[_Node]) -> bool
     return tag in ("article", "main") and bool(re.search(r"(?:^|[-_\s])comments?(?=$|[-_\s])", f"{found.get('class', '')} {found.get('id', '')}", re.I))
 
 
-def _suspicion(tag: str, found: dict[str, str], stack: list[_Node]) -> str:
+def _suspicion(tag: str, found: dict[str, str], inside: bool) -> str:
     """Class and id of an element that one of them names as boilerplate; headers are none within an article."""
     if tag in ("html", "body", "article", "main", "header"):
         return ""
     names = [unescape(found[k]) for k in ("class", "id") if found.get(k)]
-    inside = any(n.tag in ("article", "main") for n in stack)
+    if inside and tag == "p":
+        names = [_OWN.sub(" ", x) for x in names]
     return " ".join(names) if any(_BAD.search(x) or not inside and _HEADER.search(x) for x in names) else ""
 
 
@@ -96,7 +122,7 @@ def _without_boilerplate(root: _Node) -> _Node:
 def parse(html: str) -> _Node:
     """The tree of block elements; children are nodes and (text, linked) pairs. Boilerplate elements are left out whole."""
     root = _Node("html", None)
-    stack, skipped, linked, at = [root], 0, 0, 0
+    stack, skipped, linked, at = _Stack(root), 0, 0, 0
     dropped: list[str] = []  # open elements within a boilerplate element, from that on
 
     def text(upto: int) -> None:
@@ -131,18 +157,19 @@ def parse(html: str) -> _Node:
                     names, stop = _CLOSES[tag]
                     _close(stack, names.split(), stop)
                 if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", stack[-1].tag):
-                    stack.pop()
+                    stack.cut(len(stack) - 1)
                 if tag in ("html", "body"):
-                    if any(n.tag == tag for n in stack[1:]) or tag == "html":
+                    if tag == "html" or stack.has(tag):
                         continue
                 found = {x[1].lower(): x[2] or x[3] or x[4] or "" for x in _ATTRIBUTE.finditer(m[3])} if m[3].strip() else {}
-                if _is_boilerplate(tag, found, stack):
+                inside = stack.has("article", "main")
+                if _is_boilerplate(tag, found, inside):
                     dropped.append(tag)
                 else:
                     node = _Node(tag, stack[-1], m[3])
-                    node.suspect = _suspicion(tag, found, stack)
+                    node.suspect = _suspicion(tag, found, inside)
                     stack[-1].children.append(node)
-                    stack.append(node)
+                    stack.push(node)
             elif tag == "a":
                 linked = 1
             elif tag == "span" or tag == "ins":
@@ -153,7 +180,7 @@ def parse(html: str) -> _Node:
                 if close in dropped:
                     while dropped.pop() != close:
                         pass
-                elif close in ("article", "main", "body", "html") and any(n.tag == close for n in stack):
+                elif close in ("article", "main", "body", "html") and stack.has(close):
                     dropped.clear()
                     _close(stack, (close,), ())
             elif close == "a":
@@ -166,14 +193,17 @@ def parse(html: str) -> _Node:
     return _without_boilerplate(root)
 
 
-def _close(stack: list[_Node], names: tuple | list, stop: tuple) -> None:
-    for n in range(len(stack) - 1, 0, -1):
-        if stack[n].tag in names:
-            del stack[n:]
-            if stack[-1].tag in names and len(names) > 1:
-                _close(stack, names, stop)
+def _close(stack: _Stack, names: tuple | list, stop: tuple) -> None:
+    while stack.has(*names):
+        for n in range(len(stack) - 1, 0, -1):
+            if stack[n].tag in names:
+                stack.cut(n)
+                break
+            if stack[n].tag in stop:
+                return
+        else:
             return
-        if stack[n].tag in stop:
+        if len(names) == 1 or stack[-1].tag not in names:
             return
 
 
@@ -197,7 +227,7 @@ def _score(root: _Node) -> list[_Node]:
             points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)
             above, share = (node if node.tag in ("div", "section", "article", "main", "body", "td") else node.parent), 1.0
             level = 0
-            while above is not None:
+            while above is not None and level <= _ANCESTORS:
                 above.points += points * share
                 level += 1
                 share = 0.5 if level == 1 else 1 / (level * 3)
@@ -213,7 +243,7 @@ def _score(root: _Node) -> list[_Node]:
     return order
 
 
-def _render(node: _Node, out: list[str], whole: bool) -> None:
+def _render(top: _Node, out: list[str], whole: bool) -> None:
     parts: list[str] = []
 
     def flush() -> None:
@@ -222,14 +252,19 @@ def _render(node: _Node, out: list[str], whole: bool) -> None:
         if text:
             out.append(text)
 
-    if not whole and node.tag in ("ul", "ol", "table", "div", "section", "dl") and node.words and node.links / node.words > 0.6 and node.links > 20:
-        return  # a list of links
-    for child in node.children:
-        if isinstance(child, tuple):
-            parts.append(child[0])
-        else:
-            flush()
-            _render(child, out, whole)
+    pending: list = [top]
+    while pending:
+        item = pending.pop()
+        if isinstance(item, tuple):
+            parts.append(item[0])
+            continue
+        flush()
+        if item is None:  # the end of an element
+            continue
+        if not whole and item.tag in ("ul", "ol", "table", "div", "section", "dl") and item.words and item.links / item.words > 0.6 and item.links > 20:
+            continue  # a list of links
+        pending.append(None)
+        pending += reversed(item.children)
     flush()
 
 
