@@ -5,7 +5,7 @@ of paragraphs does not matter, and a paragraph is inserted or deleted by adding
 two parts, both summed modulo a power of two:
 
 * identity: 4 lanes modulo 2**64, a 256-bit cryptographic hash of the paragraph. Equal sums mean equal multisets.
-* likeness: 256 lanes modulo 2**16. Each word, with the word after it in the paragraph, adds +1 or -1 to one lane, so the
+* likeness: 256 lanes modulo 2**32. Each word, with the word after it in the paragraph, adds +1 or -1 to one lane, so the
   product of two documents' lanes estimates how many such pairs they share.
 """
 
@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ IDENTITY, LANES = 4, 256
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Identity (n x 4, uint64) and likeness (n x 256, int16) of texts; paragraphs are their non-empty lines."""
+    """Identity (n x 4, uint64) and likeness (n x 256, int32) of texts; paragraphs are their non-empty lines."""
     identity = np.zeros((len(texts), IDENTITY), dtype=U)
     paragraphs, owner = [], []
     for n, text in enumerate(texts):
@@ -36,7 +37,7 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             identity[n] = np.frombuffer(hashes, dtype="<u8").reshape(-1, IDENTITY).sum(axis=0, dtype=U)
             paragraphs += lines
             owner += [n] * len(lines)
-    likeness = np.zeros((len(texts), LANES), dtype=np.int16)
+    likeness = np.zeros((len(texts), LANES), dtype=np.int32)
     if paragraphs:
         (words,), offsets = word_hashes(pa.array(paragraphs, pa.large_string()), 1)
         if len(words):
@@ -48,17 +49,17 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             lane = doc * LANES + (pairs >> U(56)).astype(np.int64)
             signs = np.where(pairs & U(1), 1.0, -1.0)
             sums = np.bincount(lane, weights=signs, minlength=len(texts) * LANES)
-            likeness = sums.astype(np.int64).astype(np.int16).reshape(len(texts), LANES)
+            likeness = sums.astype(np.int64).astype(np.int32).reshape(len(texts), LANES)
     return identity, likeness
 
 
 def to_hex(identity: np.ndarray, likeness: np.ndarray) -> list[str]:
-    return [a.astype("<u8").tobytes().hex() + b.astype("<i2").tobytes().hex() for a, b in zip(identity, likeness, strict=True)]
+    return [a.astype("<u8").tobytes().hex() + b.astype("<i4").tobytes().hex() for a, b in zip(identity, likeness, strict=True)]
 
 
 def from_hex(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(text)
-    return np.frombuffer(raw[: 8 * IDENTITY], dtype="<u8"), np.frombuffer(raw[8 * IDENTITY :], dtype="<i2")
+    return np.frombuffer(raw[: 8 * IDENTITY], dtype="<u8"), np.frombuffer(raw[8 * IDENTITY :], dtype="<i4")
 
 
 def combine(a: str, b: str, sign: int = 1) -> str:
@@ -108,12 +109,13 @@ def with_next(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ranges = 4 * parts
     cuts = sorted(set(docs.approxQuantile("doc", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if not docs.isEmpty() else []
     # The number of cuts is bounded by the number of partitions.
-    edges = [min(int(x), NULL_ID) for x in cuts]
-    bucket = F.lit(0)
-    if edges:
-        bounds = F.array(*[F.lit(x).cast("long") for x in edges])
-        bucket = F.size(F.filter(bounds, lambda b: b <= F.col("doc")))
-    placed = docs.withColumn("bucket", bucket.cast("int"))
+    edges = np.array([min(int(x), NULL_ID) for x in cuts], dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(doc: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, doc.to_numpy(), side="right").astype(np.int32))
+
+    placed = docs.withColumn("bucket", bucket("doc"))
     firsts = sorted((r.bucket, r.least.doc, r.least.h) for r in placed.groupBy("bucket").agg(F.min(F.struct("doc", "h")).alias("least")).collect())
     before = [(doc, h, firsts[n - 1][0]) for n, (_, doc, h) in enumerate(firsts)]
     tails = F.broadcast(spark.createDataFrame(before, "doc long, h long, before int"))
