@@ -6,38 +6,77 @@ depends on it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import cut, doc_key
-from ._sketch import member_test
+from ._runtime import cut, doc_key, slices
+from ._sketch import longs_in, member_bits
+
+
+class Apart:
+    """A table's rows for a passage search: which ones to search, and all of them with what the search found.
+
+    Rows are (doc, id, text, t, m): the never-null key of the id, and two hashes of the text; t tells rows apart that share an id.
+    """
+
+    def __init__(self, documents: DataFrame, id_col: str, text_col: str):
+        text = F.col(text_col).cast("string")
+        rows = documents.select(doc_key(id_col).alias("doc"), F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("t"), F.hash(text, F.octet_length(text)).alias("m"))
+        self.rows = rows.withColumn("name", F.xxhash64("doc", "t", "m"))
+        # Tables of their own, next to which Spark can split the rows of a text that many have.
+        least = cut(rows.groupBy("t", "m").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").drop("last"))
+        self.later = cut(rows.select("doc", "t", "m").join(least, ["t", "m"]).where("doc > least").select("doc", "t", "m").distinct())
+        self._maybe_later = member_bits(self.later.select(F.xxhash64("doc", "t", "m")))
+        maybe, bits, cells = _test(self._maybe_later), *self._maybe_later
+        held = self.rows.where(maybe("name"))
+        # The Bloom filter holds a few rows that are no copies; they are searched too.
+        few = cut(held.join(self.later, ["doc", "t", "m"], "left_anti").select("doc", "t", "text", F.lit(0).cast("long").alias("name")))
+        self.searched = self.rows.select("doc", "t", "text", "name").withColumn("sure", F.lit(False)).unionByName(few.withColumn("sure", F.lit(True)))
+        self._bits, self._cells = bits, cells
+
+    def size(self) -> int:
+        """UTF-8 bytes of all texts."""
+        return self.rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+    def batches(self):
+        """A filter of `searched`'s batches in a worker: slices of the rows that are no later copies."""
+        bits, cells = self._bits, self._cells
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                skip = longs_in(bits.value, cells, batch.column("name").to_numpy()) & ~batch.column("sure").to_numpy(zero_copy_only=False)
+                yield from slices(iter([batch.filter(pa.array(~skip))]), "text")
+
+        return run
 
+    def with_spans(self, spans: DataFrame) -> DataFrame:
+        """(id, text, spans, copy) of all rows: the spans (doc, t, spans) of searched rows, and which rows are later copies.
 
-def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, id, text, t, m): the never-null key of the id, and two hashes of the text; t tells rows apart that share an id."""
-    text = F.col(text_col).cast("string")
-    return documents.select(doc_key(id_col).alias("doc"), F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("t"), F.hash(text, F.octet_length(text)).alias("m"))
+        One test of each row tells whether it may be in either table; only those rows are shuffled.
+        """
+        later, found = self._maybe_later, member_bits(spans.select(F.xxhash64("doc", "t")))
 
+        @F.pandas_udf("boolean")
+        def concerned(name: pd.Series, short: pd.Series) -> pd.Series:
+            return pd.Series(longs_in(later[0].value, later[1], name.to_numpy()) | longs_in(found[0].value, found[1], short.to_numpy()))
 
-def name_of(*columns: str) -> Column:
-    return F.xxhash64(*columns)
+        rows = self.rows.withColumn("concerned", concerned("name", F.xxhash64("doc", "t")))
+        kind = spans.schema["spans"].dataType
+        plain = rows.where("not concerned").select("id", "text", F.lit(None).cast(kind).alias("spans"), F.lit(False).alias("copy"))
+        marks = self.later.select("doc", "t", F.col("m").alias("copy_m")).dropDuplicates(["doc", "t"])
+        held = rows.where("concerned").join(spans.hint("shuffle_hash"), ["doc", "t"], "left").join(marks.hint("shuffle_hash"), ["doc", "t"], "left")
+        return plain.unionByName(held.select("id", "text", "spans", F.coalesce(F.col("m") == F.col("copy_m"), F.lit(False)).alias("copy")))
 
 
-def set_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows to search, and the later copies; only rows that may be later copies are shuffled."""
-    least = docs.groupBy("t", "m").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").drop("last")
-    later = cut(docs.select("doc", "t", "m").join(least, ["t", "m"]).where("doc > least").select("doc", "t", "m").distinct())
-    maybe = member_test(later.select(name_of("doc", "t", "m")))(name_of("doc", "t", "m"))
-    held = docs.where(maybe)
-    wrongly_held = cut(held.join(later, ["doc", "t", "m"], "left_anti").select(*docs.columns))
-    copies = held.join(later.hint("shuffle_hash"), ["doc", "t", "m"], "left_semi").select(*docs.columns)
-    return docs.where(~maybe).unionByName(wrongly_held), copies
+def _test(held):
+    bits, cells = held
 
+    @F.pandas_udf("boolean")
+    def test(key: pd.Series) -> pd.Series:
+        return pd.Series(longs_in(bits.value, cells, key.to_numpy()))
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the spans (doc, t, spans) of their rows; rows without any pass straight through, with null."""
-    maybe = member_test(spans.select(name_of("doc", "t")))(name_of("doc", "t"))
-    plain = docs.where(~maybe).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    joined = docs.where(maybe).join(spans.hint("shuffle_hash"), ["doc", "t"], "left")
-    columns = [*docs.columns, "spans"]
-    return plain.select(*columns).unionByName(joined.select(*columns))
+    return test

@@ -122,8 +122,8 @@ def repeated(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterat
     done = level.groupBy("segment").agg(*lists).mapInArrow(_bits_of(least), "segment int, bits binary")
     whole = bytearray(ROWS * cells // 8)
     size = _SEGMENT // 8
-    # The bits come in pieces of about 16 MB, a job for each.
-    for row in done.coalesce(max(1, len(whole) >> 24)).toLocalIterator():
+    # The bits come in pieces of about 2 MB, a job for each.
+    for row in done.coalesce(max(1, len(whole) >> 21)).toLocalIterator():
         whole[row.segment * size : (row.segment + 1) * size] = row.bits
     del parts, level, done
     release(df.sparkSession)
@@ -144,17 +144,24 @@ def _longs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield batch.column(0).to_numpy().view(np.uint64)
 
 
-def member_test(keys: DataFrame) -> Callable[[Column], Column]:
-    """A test whether a long may be among the keys (one long column, no nulls): a Bloom filter that never misses one.
-
-    It parts rows that need a shuffle join from those that pass straight through; its size is bounded like any sketch's.
-    """
+def member_bits(keys: DataFrame) -> tuple[Broadcast, int]:
+    """A Bloom filter of the keys (one long column, no nulls), and its cells; it never misses one, and its size is bounded like any sketch's."""
     held = cut(keys)
     cells = cells_for(held.count(), 8)
-    bits = repeated(held, _longs, cells, least=1)
+    return repeated(held, _longs, cells, least=1), cells
+
+
+def longs_in(bits: bytes, cells: int, keys: np.ndarray) -> np.ndarray:
+    """Which longs may be in a Bloom filter."""
+    return may_repeat(bits, keys.view(np.uint64), cells)
+
+
+def member_test(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a long may be among the keys; it parts rows that need a shuffle join from those that pass straight through."""
+    bits, cells = member_bits(keys)
 
     @F.pandas_udf("boolean")
     def test(key: pd.Series) -> pd.Series:
-        return pd.Series(may_repeat(bits.value, key.to_numpy().view(np.uint64), cells))
+        return pd.Series(longs_in(bits.value, cells, key.to_numpy()))
 
     return test

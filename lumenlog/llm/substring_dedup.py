@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._copies import keyed, set_apart, with_spans
+from ._copies import Apart
 from ._kernels import Block, anchors, rolling, word_blocks, word_hashes
 from ._runtime import cut, slices
 from ._sketch import cells_for, may_repeat, repeated
@@ -56,24 +56,24 @@ def remove_repeated_windows(documents: DataFrame, width: int = 50, id_col: str =
     """
     gram = gram or (width + 1) // 2
     halo = 2 * width
-    docs, copies = set_apart(keyed(documents, id_col, text_col))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    apart = Apart(documents, id_col, text_col)
+    docs, fresh = apart.searched, apart.batches()
     # A word and the space after it take about six bytes; an anchor stands for (width - gram + 2) / 2 words.
-    cells = cells_for(int(size / 6 / ((width - gram + 2) / 2)) + 1)
+    cells = cells_for(int(apart.size() / 6 / ((width - gram + 2) / 2)) + 1)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in slices(batches, "text"):
+        for batch in fresh(batches):
             doc = batch.column("doc").to_numpy()
             hashes, offsets = word_hashes(batch.column("text"), 1)
             for block in word_blocks(hashes, offsets, halo):
                 chosen, keys = anchors(block, gram, width)
                 yield _distinct(doc[block.row[block.piece_of(chosen)]], keys)
 
-    sketch = repeated(docs.select("doc", "text"), keys_of, cells)
+    sketch = repeated(docs, keys_of, cells)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
-        for batch in slices(batches, "text"):
+        for batch in fresh(batches):
             doc, own = batch.column("doc").to_numpy(), batch.column("t").to_numpy()
             hashes, offsets = word_hashes(batch.column("text"), 2)
             for block in word_blocks(hashes, offsets, halo):
@@ -94,11 +94,10 @@ def remove_repeated_windows(documents: DataFrame, width: int = 50, id_col: str =
                         schema=_WINDOWS,
                     )
 
-    windows = docs.select("doc", "t", "text").mapInArrow(candidates, "h1 long, h2 long, doc long, t long, at int")
+    windows = docs.mapInArrow(candidates, "h1 long, h2 long, doc long, t long, at int")
     first = cut(windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"))
     covered = windows.join(first, ["h1", "h2"]).where("doc > first").groupBy("doc", "t").agg(F.collect_list("at").alias("spans"))
-    rows = with_spans(docs, cut(covered)).select("id", "text", "spans", F.lit(False).alias("copy"))
-    rows = rows.unionByName(copies.select("id", "text", F.lit(None).cast("array<int>").alias("spans"), F.lit(True).alias("copy")))
+    rows = apart.with_spans(cut(covered))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
