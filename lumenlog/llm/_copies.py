@@ -48,7 +48,7 @@ class Apart:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                skip = longs_in(bits.value, cells, batch.column("name").to_numpy()) & ~batch.column("sure").to_numpy(zero_copy_only=False)
+                skip = longs_in(bits, cells, batch.column("name").to_numpy()) & ~batch.column("sure").to_numpy(zero_copy_only=False)
                 yield from slices(iter([batch.filter(pa.array(~skip))]), "text")
 
         return run
@@ -62,7 +62,7 @@ class Apart:
 
         @F.pandas_udf("boolean")
         def concerned(name: pd.Series, short: pd.Series) -> pd.Series:
-            return pd.Series(longs_in(later[0].value, later[1], name.to_numpy()) | longs_in(found[0].value, found[1], short.to_numpy()))
+            return pd.Series(longs_in(later[0], later[1], name.to_numpy()) | longs_in(found[0], found[1], short.to_numpy()))
 
         rows = self.rows.withColumn("concerned", concerned("name", F.xxhash64("doc", "t")))
         kind = spans.schema["spans"].dataType
@@ -77,6 +77,6 @@ def _test(held):
 
     @F.pandas_udf("boolean")
     def test(key: pd.Series) -> pd.Series:
-        return pd.Series(longs_in(bits.value, cells, key.to_numpy()))
+        return pd.Series(longs_in(bits, cells, key.to_numpy()))
 
     return test

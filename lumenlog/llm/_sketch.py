@@ -3,12 +3,14 @@
 A sketch answers one question: may this 64-bit key have been counted twice or more? It overestimates and never
 underestimates. Partitions send sorted cell numbers, cut into segments; segments merge in two shuffles, so no task
 gets more than a segment from a share of the partitions. The merged sketch is one bit for each cell (counted twice or
-more), between 2**20 and ROWS * MAX_CELLS bits whatever the input: 128 MB at most, the bound of the broadcast. Past that
+more), between 2**20 and ROWS * MAX_CELLS bits whatever the input: 128 MB at most, the bound of the broadcast, of which the
+workers of an executor map one copy. Past that
 size the sketch only lets more candidates through; results stay exact.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -127,12 +129,34 @@ def repeated(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterat
         whole[row.segment * size : (row.segment + 1) * size] = row.bits
     del parts, level, done
     release(df.sparkSession)
-    return df.sparkSession.sparkContext.broadcast(bytes(whole))
+    return df.sparkSession.sparkContext.broadcast(whole)
 
 
-def may_repeat(bits: bytes, keys: np.ndarray, cells: int) -> np.ndarray:
+_MAPPED: dict[str, np.ndarray] = {}
+
+
+def bits_of(sketch: Broadcast) -> np.ndarray:
+    """The sketch's bits in a worker: mapped from the broadcast's file, so that an executor's workers share one copy, else its value."""
+    path = getattr(sketch, "_path", None)
+    if not path or not os.path.exists(path):
+        return np.frombuffer(sketch.value, dtype=np.uint8)
+    if path not in _MAPPED:
+        with open(path, "rb") as f:
+            head = f.read(64)
+        # A pickled bytearray: its opcode, eight bytes of length, the bytes, and at most two opcodes.
+        at = head.find(b"\x96") + 9
+        size = int.from_bytes(head[at - 8 : at], "little") if at > 8 else -1
+        if not 0 <= os.path.getsize(path) - at - size <= 2:
+            return np.frombuffer(sketch.value, dtype=np.uint8)
+        while len(_MAPPED) >= 4:
+            _MAPPED.pop(next(iter(_MAPPED)))
+        _MAPPED[path] = np.memmap(path, dtype=np.uint8, mode="r", offset=at, shape=(size,))
+    return _MAPPED[path]
+
+
+def may_repeat(sketch: Broadcast, keys: np.ndarray, cells: int) -> np.ndarray:
     """Which keys the sketch estimates at its least count or more."""
-    table = np.frombuffer(bits, dtype=np.uint8)
+    table = bits_of(sketch)
     out = np.ones(len(keys), dtype=bool)
     for numbers in _cells(keys, cells):
         out &= (table[numbers >> 3] >> (numbers & 7).astype(np.uint8)) & 1 == 1
@@ -151,7 +175,7 @@ def member_bits(keys: DataFrame) -> tuple[Broadcast, int]:
     return repeated(held, _longs, cells, least=1), cells
 
 
-def longs_in(bits: bytes, cells: int, keys: np.ndarray) -> np.ndarray:
+def longs_in(bits: Broadcast, cells: int, keys: np.ndarray) -> np.ndarray:
     """Which longs may be in a Bloom filter."""
     return may_repeat(bits, keys.view(np.uint64), cells)
 
@@ -162,6 +186,6 @@ def member_test(keys: DataFrame) -> Callable[[Column], Column]:
 
     @F.pandas_udf("boolean")
     def test(key: pd.Series) -> pd.Series:
-        return pd.Series(longs_in(bits.value, cells, key.to_numpy()))
+        return pd.Series(longs_in(bits, cells, key.to_numpy()))
 
     return test

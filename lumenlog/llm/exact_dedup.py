@@ -45,7 +45,7 @@ def _grouped(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys in _keys(iter([batch])):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may_repeat(seen.value, keys, cells))], names=[*batch.schema.names, "again"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may_repeat(seen, keys, cells))], names=[*batch.schema.names, "again"])
 
     marked = cut(rows.mapInArrow(flagged, "id long, h long, n long, digest binary, row long, again boolean"))
     alone = marked.where("not again").select("id", "h", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(False).alias("twin"), "digest")

@@ -72,7 +72,7 @@ def remove_repeated_windows(documents: DataFrame, width: int = 50, id_col: str =
     sketch = repeated(docs, keys_of, cells)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sketch.value
+        bits = sketch
         for batch in fresh(batches):
             doc, own = batch.column("doc").to_numpy(), batch.column("t").to_numpy()
             hashes, offsets = word_hashes(batch.column("text"), 2)
