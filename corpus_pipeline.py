@@ -44,10 +44,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written as Parquet in the shared folder and read as the next one's docs."""
+    """All stages over documents; what each returns is written as Parquet in the shared folder and read as the next one's docs.
+
+    A stage's files go once the next stage is written; those that the result is read from stay.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for n, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if n == len(STAGES) - 1:
@@ -55,4 +58,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{n}-{name}"
         out.write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
