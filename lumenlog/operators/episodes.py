@@ -41,22 +41,32 @@ def detect(markers: DataFrame) -> DataFrame:
     )
 
 
+def inside(rows: DataFrame, episodes: DataFrame, columns: list[str]) -> DataFrame:
+    """rows (case_id, i, ...) before the denial of the episode whose span they lie in, with the episode's columns.
+
+    Spans are disjoint, so one ordered pass over each case gives every row its episode; there is no range join.
+    """
+    starts = episodes.select("case_id", F.col("span_start").alias("i"), F.struct("denial_i", *columns).alias("_episode"))
+    both = rows.withColumn("_episode", F.lit(None).cast(starts.schema["_episode"].dataType)).withColumn("_row", F.lit(1)).unionByName(starts.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy("case_id").orderBy("i", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("_episode", F.last("_episode", ignorenulls=True).over(order)).where("_row = 1 and _episode is not null and i < _episode.denial_i")
+    return filled.select(*rows.columns, *(F.col(f"_episode.{c}").alias(c) for c in columns))
+
+
 def descent_window(episodes: DataFrame, samples: DataFrame, percent: int = 25) -> DataFrame:
     """Where the lead-up of each episode starts: after the last sample at or above percent of the final high-water mark.
 
     samples: (case_id, i, event_id, available, hwm) rows; those in [span_start, denial) belong to an episode.
     """
-    e = episodes.select("case_id", "denial_event_id", "denial_i", "span_start")
-    inside = e.join(samples, "case_id").where("i >= span_start and i < denial_i")
-    by = Window.partitionBy("case_id", "denial_event_id")
-    ordered = inside.withColumn("rn", F.row_number().over(by.orderBy("i"))).withColumn("n", F.count(F.lit(1)).over(by)).withColumn("mark", F.last("hwm").over(by.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    level = F.col("mark") * percent / 100
-    found = ordered.groupBy("case_id", "denial_event_id").agg(
-        F.first("n").alias("request_count"), F.max(F.when(F.col("available") >= level, F.col("rn"))).alias("above"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("rn", "event_id")))).alias("ids")
-    )
-    start = F.when(F.col("above").isNull(), 1).otherwise(F.least(F.col("above") + 1, "request_count"))
-    out = e.join(found, ["case_id", "denial_event_id"], "left")
-    return out.select("case_id", "denial_event_id", F.lit(percent).alias("threshold_pct"), F.try_element_at("ids", start).alias("start_event_id"), F.coalesce("request_count", F.lit(0)).cast("long").alias("request_count"))
+    by = ["case_id", "denial_event_id"]
+    rows = inside(samples, episodes, ["denial_event_id"])
+    mark = rows.groupBy(*by).agg(F.max_by("hwm", "i").alias("mark"))
+    graded = rows.join(mark, by).withColumn("above", F.col("available") >= F.col("mark") * percent / 100)
+    last = graded.groupBy(*by).agg(F.max(F.when(F.col("above"), F.col("i"))).alias("last_above"))
+    after = F.when(F.col("last_above").isNull() | (F.col("i") > F.col("last_above")), F.col("i"))
+    figures = graded.join(last, by).groupBy(*by).agg(F.min_by("event_id", after).alias("start"), F.max_by("event_id", "i").alias("last"), F.count(F.lit(1)).alias("request_count"))
+    out = episodes.select(*by).join(figures, by, "left")
+    return out.select(*by, F.lit(percent).alias("threshold_pct"), F.coalesce("start", "last").alias("start_event_id"), F.coalesce("request_count", F.lit(0)).cast("long").alias("request_count"))
 
 
 def attribution(episodes: DataFrame, grants: DataFrame) -> DataFrame:
@@ -64,9 +74,8 @@ def attribution(episodes: DataFrame, grants: DataFrame) -> DataFrame:
 
     grants: (case_id, i, event_id, oid, source_key, sid, bytes).
     """
-    e = episodes.select("case_id", "denial_event_id", "denial_i", "span_start")
-    inside = e.join(grants, "case_id").where("i >= span_start and i < denial_i")
-    sets = inside.select("case_id", "denial_event_id", "bytes", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("key")) for d, c in (("oid", "oid"), ("source", "source_key"), ("sid", "sid"))])).alias("d"))
+    rows = inside(grants, episodes, ["denial_event_id"])
+    sets = rows.select("case_id", "denial_event_id", "bytes", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("key")) for d, c in (("oid", "oid"), ("source", "source_key"), ("sid", "sid"))])).alias("d"))
     return sets.groupBy("case_id", "denial_event_id", "d.dimension", "d.key").agg(F.sum("bytes").alias("granted_bytes"), F.count(F.lit(1)).alias("request_count"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import UNRANKED, canonical_order
+from ..schema import UNRANKED, canonical_key, canonical_order
 
 EVENT_FILTERS = {
     "severity": lambda v: F.col("severity") == v,
@@ -16,7 +18,16 @@ EVENT_FILTERS = {
 }
 GROUP_FILTERS = {"severity": lambda v: F.col("severity_max") == v, "min-count": lambda v: F.col("count") >= int(v), "contains": lambda v: F.col("template").contains(v)}
 CLUSTER_FILTERS = GROUP_FILTERS | {"contains": lambda v: F.col("signature").contains(v)}
-VERDICT_FILTERS = {k: (lambda v, k=k: F.col(k.replace("-", "_")) == v) for k in ("target-type", "target-id", "verdict")}
+VERDICT_FILTERS = {"target-type": lambda v: F.col("target_type") == v, "target-id": lambda v: F.col("target_id") == v, "verdict": lambda v: F.col("verdict") == v}
+
+
+def parse_moment(text: str) -> datetime:
+    """An ISO time as UTC; without an offset it is UTC. Anything else is an error."""
+    try:
+        at = datetime.fromisoformat(text)
+    except ValueError as e:
+        raise ValueError(f"not an ISO time: {text!r}") from e
+    return at.replace(tzinfo=timezone.utc) if at.tzinfo is None else at.astimezone(timezone.utc)
 
 
 def parse_filters(specs: list[str], allowed: dict) -> dict[str, str]:
@@ -30,6 +41,8 @@ def parse_filters(specs: list[str], allowed: dict) -> dict[str, str]:
             raise ValueError(f"repeated filter: {key}")
         if key in ("limit", "min-count") and (not value.isdigit()):
             raise ValueError(f"not a count: {spec}")
+        if key in ("since", "until"):
+            parse_moment(value)
         out[key] = value
     return out
 
@@ -69,13 +82,21 @@ def page_after(events: DataFrame, key: dict | None, size: int = 200) -> DataFram
 
 
 def new_events(existing: DataFrame, arriving: DataFrame) -> DataFrame:
-    """Arriving rows to append: the first of each id, none that exists."""
+    """Arriving rows to append: the first of each id in canonical order, none that exists."""
     keys = ["case_id", "event_id"]
-    return arriving.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    return first_rows(arriving, keys, canonical_key()).join(existing.select(*keys), keys, "left_anti")
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """The row of each key that is first in order, by a partial aggregate; maps and other types without an order are carried along."""
+    best = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min_by(F.struct(*rows.columns), order).alias("_best"))
+    return best.select("_best.*")
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return existing.join(new.select(*keys), keys, "left_anti").unionByName(new)
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """new, one row of each key (the first in order, by default by all its columns), and the existing rows with other keys."""
+    own = first_rows(new, keys, F.struct(*[F.to_json(F.struct(c)) for c in new.columns if c not in keys]) if order is None else order)
+    return existing.join(own.select(*keys), keys, "left_anti").unionByName(own)
 
 
 def latest(log: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -15,20 +15,17 @@ EXEMPLARS = 5
 def template_groups(events: DataFrame, masked: Column | None = None) -> DataFrame:
     """Events grouped by case and masked message: count, first and last time, highest severity, first exemplar ids.
 
-    Exemplars are kept per group by a bounded top-k: ids are ranked in a second aggregate over (group, file) minima, so a group of any
-    size never gathers in one row.
+    Counts are a partial aggregate. For the exemplars each task keeps its first few rows of a group before the shuffle (a
+    row-number limit that Spark pushes below the exchange), so a group of any size moves a few rows from each task.
     """
     rows = ranking_events(events).withColumn("template", mask("message") if masked is None else masked)
     by = ["case_id", "template"]
     figures = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max(severity_rank()).alias("rank"))
-    salted = rows.select(*by, canonical_key().alias("k"), F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("salt"))
-    first = Window.partitionBy(*by, "salt").orderBy("k")
-    partly = salted.withColumn("n", F.row_number().over(first)).where(f"n <= {EXEMPLARS}")
-    exemplars = partly.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("k")), 1, EXEMPLARS).alias("ks"))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("k"))
+    few = rows.select(*by, canonical_key().alias("k")).withColumn("n", first).where(F.col("n") <= EXEMPLARS)
+    exemplars = few.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("k")), lambda k: k["id"]).alias("exemplar_event_ids"))
     joined = figures.join(exemplars, by)
-    return joined.select(
-        "case_id", short_hash("template").alias("template_id"), "template", "count", "first_ts", "last_ts", severity_name(F.col("rank")).alias("severity_max"), F.transform("ks", lambda k: k["id"]).alias("exemplar_event_ids")
-    )
+    return joined.select("case_id", short_hash("template").alias("template_id"), "template", "count", "first_ts", "last_ts", severity_name(F.col("rank")).alias("severity_max"), "exemplar_event_ids")
 
 
 def seconds(column: Column) -> Column:

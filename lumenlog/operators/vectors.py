@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Vectors of a case that are clustered together at most.
+MOST = 20_000
+
+
 def l2_normalise(df: DataFrame, column: str = "embedding") -> DataFrame:
     """Unit vectors; zero vectors stay zero."""
     norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -95,53 +99,61 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 2) -> np.ndarray:
         else:
             value[c] = below
     labels = np.full(n, -1)
-
-    def paint(c: int, label: int) -> None:
+    pending = [(0, -1)]
+    while pending:
+        c, label = pending.pop()
+        if label < 0 and c in chosen:
+            label = c
         labels[members[c]] = label
-        for k in children[c]:
-            paint(k, label)
-
-    def walk(c: int) -> None:
-        if c in chosen:
-            paint(c, c)
-            return
-        for k in children[c]:
-            walk(k)
-
-    walk(0)
+        pending += [(k, label) for k in children[c]]
     return labels
 
 
 def agglomerative(x: np.ndarray, threshold: float = 0.3) -> np.ndarray:
-    """Average linkage on cosine distance, cut at a threshold."""
+    """Average linkage on cosine distance, cut at a threshold, by chains of nearest neighbours: quadratic in time and memory."""
     n = len(x)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
     d = 1 - unit @ unit.T
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    while n > 1:
-        a, b = divmod(int(d.argmin()), len(d))
-        if d[a, b] > threshold or not np.isfinite(d[a, b]):
-            break
+    size, alive, merges = np.ones(n), np.ones(n, dtype=bool), []
+    chain: list[int] = []
+    while alive.sum() > 1:
+        if not chain:
+            chain.append(int(alive.argmax()))
+        while True:
+            top = chain[-1]
+            row = np.where(alive, d[top], np.inf)
+            near = int(row.argmin())
+            # A tie with the one before ends the chain, so that it cannot run in a circle.
+            if len(chain) > 1 and row[chain[-2]] <= row[near]:
+                break
+            chain.append(near)
+        b, a = chain.pop(), chain.pop()
         a, b = min(a, b), max(a, b)
-        row = (d[a] * size[a] + d[b] * size[b]) / (size[a] + size[b])
-        row[[a, b]] = np.inf
-        d[a, :], d[:, a] = row, row
-        d[b, :], d[:, b] = np.inf, np.inf
+        merges.append((d[a, b], a, b))
+        joined = (d[a] * size[a] + d[b] * size[b]) / (size[a] + size[b])
+        joined[[a, b]] = np.inf
+        d[a, :], d[:, a] = joined, joined
         size[a] += size[b]
-        label[label == b] = a
-        n -= 1
+        alive[b] = False
+    label = np.arange(n)
+    for distance, a, b in merges:  # a merge stands for its smallest member; average linkage has no inversions
+        if distance <= threshold:
+            label[label == label[b]] = label[a]
     return label
 
 
 def cluster(vectors: DataFrame, method: str = "hdbscan", id_col: str = "vec_id", column: str = "embedding", by: str = "case_id") -> DataFrame:
     """(case, id, cluster_id) of a case's vectors; noise is a cluster of its own, and ids follow first appearance.
 
-    One task holds one case: its rows are the case's distinct templates, not its events.
+    One task holds one case: its rows are the case's distinct templates, not its events. Both methods compare all of a case's vectors, so a case with
+    more than MOST of them is an error rather than a task that cannot end; average linkage holds a matrix of them, 3 GB at that size.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > MOST:
+            raise ValueError(f"{len(frame)} vectors in a case; {MOST} is the most that can be clustered together")
         frame = frame.sort_values(id_col)
         x = np.array(frame[column].tolist(), dtype=np.float64)
         norm = np.linalg.norm(x, axis=1, keepdims=True)
