@@ -15,6 +15,10 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        # Tiny tables: compiling each plan would take most of the time.
+        .config("spark.sql.codegen.wholeStage", "false")
+        .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+        .config("spark.sql.autoBroadcastJoinThreshold", "4m")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 from lumenlog.functions import text as T
-from lumenlog.plans import catalogue
+from lumenlog.plans import analytics, catalogue
 
 DATA = "/root/testdata/sf0.001"
 
@@ -36,6 +36,10 @@ def rows(found, columns):
     return sorted((tuple(value(r[i]) for i in order) for r in found), key=repr)
 
 
+def test_the_catalogue_holds_the_analyses():
+    assert analytics.denial_flags is catalogue.QUERIES["denial_flags"]
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, DATA)
