@@ -333,18 +333,32 @@ def keep_sample(
 ) -> DataFrame:
     """The rows that mix_sources keeps, with all their columns.
 
-    Each row is decided where it is read: its cell's probability comes from the table of cells (which Spark broadcasts if it is
-    small by its size), and the hash of its id is compared with that; rows are not shuffled then.
+    Each row is decided where it is read, by its cell's probability and the hash of its id; rows are not shuffled. More than DRIVER_CELLS
+    cells are joined instead.
     """
     p = cut(_probabilities(describe(documents, id_col, text_col, source_col, lang_col, topic_col), targets, exponents, share))
-    names = [f"_lumenlog_{n}" for n in range(5)]
+    names = [f"_lumenlog_{n}" for n in range(6)]
     while set(names) & set(documents.columns):
         names = [f"_{n}" for n in names]
-    p = p.select(*(F.col(c).alias(n) for c, n in zip((*DIMENSIONS, "probability"), names[:4], strict=True)))
     text = F.col(text_col).cast("string")
-    topic = _value(topic_col) if topic_col else hashed_topic(text)
-    rows = documents.withColumn(names[4], topic)
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    if p.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS:
+        table = documents.sparkSession.sparkContext.broadcast({(r.source, r.lang, r.topic): r.probability for r in p.collect()})  # DRIVER_CELLS entries at most
+        keys = documents.select(*columns, text.alias(names[0]), _value(source_col).alias(names[1]), _value(lang_col).alias(names[2]), (_value(topic_col) if topic_col else F.lit(None).cast("string")).alias(names[3]), _uniform(seed, F.col(id_col)).alias(names[4]))
+        width = len(documents.columns)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, names[0]):
+                own = [batch.column(width + n) for n in range(5)]
+                sizes, topic = topics_of(own[0])
+                topics = own[3].to_pylist() if topic_col else [f"t{t}" if t >= 0 else "" for t in topic]
+                chance = np.array([table.value.get(key, 1.0) for key in zip(own[1].to_pylist(), own[2].to_pylist(), topics, strict=True)])
+                keep = own[4].to_numpy() < np.where(sizes > 0, chance, 1.0)
+                yield batch.select(list(range(width))).filter(pa.array(keep))
+
+        return keys.mapInArrow(run, documents.schema)
+    p = p.select(*(F.col(c).alias(n) for c, n in zip((*DIMENSIONS, "probability"), names[:4], strict=True)))
+    rows = documents.withColumn(names[4], _value(topic_col) if topic_col else hashed_topic(text))
     same = (_value(source_col) == F.col(names[0])) & (_value(lang_col) == F.col(names[1])) & (F.col(names[4]) == F.col(names[2]))
     chance = F.when(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.coalesce(F.col(names[3]), F.lit(1.0))).otherwise(1.0)
-    kept = rows.join(p, same, "left").where(_uniform(seed, F.col(id_col)) < chance)
-    return kept.select(*(F.col(f"`{c}`") for c in documents.columns))
+    return rows.join(p, same, "left").where(_uniform(seed, F.col(id_col)) < chance).select(*columns)
