@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 from enum import IntEnum
@@ -89,24 +90,38 @@ class Engine:
     def _events(self, case_id: str, *sources: str) -> DataFrame:
         return self.store.table("events").where((F.col("case_id") == case_id) & F.col("source").isin(*sources))
 
+    def _kept(self, frame: DataFrame) -> DataFrame:
+        """The frame as a table in the store's folder: what is built on it starts from there."""
+        path = f"{self.store.folder}/_scratch/{uuid.uuid4().hex}"
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def _tables(self, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return {name: self._kept(frame) for name, frame in frames.items()}
+
+    def clean(self) -> None:
+        """Deletes the tables that analyses kept; their frames can't be read any more."""
+        fs, path = self.store._fs(f"{self.store.folder}/_scratch")
+        fs.delete(path, True)
+
     def mcm(self, case_id: str) -> dict[str, DataFrame]:
-        return denials.analyse(self._events(case_id, "dsserrors"), self.config.mcm.window_pct, self.config.mcm.thresholds, DataFrame.persist)
+        return self._tables(denials.analyse(self._events(case_id, "dsserrors"), self.config.mcm.window_pct, self.config.mcm.thresholds, self._kept))
 
     def perfmon(self, case_id: str) -> dict[str, DataFrame]:
         events, found = self._events(case_id, "dsserrors", "dssperfmon"), self.mcm(case_id)
-        return counters.analyse(events, found, denials.span_events(events, found["episodes"]), keep=DataFrame.persist)
+        return self._tables(counters.analyse(events, found, self._kept(denials.span_events(events, found["episodes"])), keep=self._kept))
 
     def rules(self) -> list[stacks.Rule]:
         return stacks.read_rules(self.config.eustack.rules_path)[0] if self.config.eustack.rules_path else []
 
     def eustack(self, case_id: str) -> dict[str, DataFrame]:
-        return stacks.analyse(self._events(case_id, "eustack"), self.rules(), self.config.eustack.thresholds)
+        return self._tables(stacks.analyse(self._events(case_id, "eustack"), self.rules(), self.config.eustack.thresholds, self._kept))
 
     def fact_blocks(self, case_id: str) -> dict[str, DataFrame]:
         """The fact block of each analyser whose sources the case has."""
         have = {r.source for r in self._events(case_id, *facts.sources()).select("source").distinct().collect()}
         frames = {"mcm": self.mcm, "perfmon": self.perfmon, "eustack": self.eustack}
-        return {marker: block(frames[name](case_id)) for name, (marker, sources, block) in facts.ANALYSERS.items() if sources[-1] in have}
+        return {marker: self._kept(block(frames[name](case_id))) for name, (marker, sources, block) in facts.ANALYSERS.items() if sources[-1] in have}
 
     def scored(self, case_id: str, incident: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
         return templates.salience(self.store.clusters(case_id), incident, since, until)

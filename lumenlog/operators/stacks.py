@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -232,17 +233,18 @@ def exemplars_by(rows: DataFrame, by: list[str], k: int = EXEMPLARS) -> DataFram
     return counts.alias("a").join(lowest.alias("b"), same).select(*(f"a.{c}" for c in by), "population", "exemplars")
 
 
-def analyse(events: DataFrame, rules: list[Rule], thresholds: dict[str, tuple[float, float]] | None = None) -> dict[str, DataFrame]:
+def analyse(events: DataFrame, rules: list[Rule], thresholds: dict[str, tuple[float, float]] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> dict[str, DataFrame]:
     """All frames of the stack analysis: dumps, signatures, roles, pools, lock_sites, dependencies, flags, progression, threads.
 
     Pools, sites, dependencies and flags are those of every dump; `latest` marks the last one of its case, of which reports tell.
+    keep is applied to what several frames share.
     """
-    threads = threads_of(events)
-    dumps = dumps_of(events)
-    order = dump_order(dumps.select("case_id", "dump", "ts"))
+    threads = keep(threads_of(events))
+    dumps = keep(dumps_of(events))
+    order = keep(dump_order(dumps.select("case_id", "dump", "ts")))
     sizes = order.groupBy("case_id").agg(F.max("dump_idx").alias("last"))
     placed = order.join(sizes, "case_id").withColumn("latest", F.col("dump_idx") == F.col("last"))
-    classified = classify(signatures(threads), rules)
+    classified = keep(classify(signatures(threads), rules))
     rows = progression(signatures(threads), order).join(last_seen(classified, order), ["case_id", "frames"])
     mark = placed.select("case_id", "dump", "dump_idx", "latest")
     marked = lambda df: df.join(mark, ["case_id", "dump"])
