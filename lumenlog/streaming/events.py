@@ -28,17 +28,22 @@ def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.where("ts is not null").withWatermark("ts", late).dropDuplicatesWithinWatermark(["case_id", "event_id"])
 
 
-def template_counts(events: DataFrame, width: str = "5 minutes", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+def _watermarked(events: DataFrame, late: str | None) -> DataFrame:
+    """events with a watermark; late None: they have one, as after `deduplicated`."""
+    return events if late is None else events.withWatermark("ts", late)
+
+
+def template_counts(events: DataFrame, width: str = "5 minutes", late: str | None = "1 hour", slide: str | None = None) -> DataFrame:
     """Count and highest severity rank of each masked template in tumbling windows, or sliding ones if slide is given."""
-    rows = events.withWatermark("ts", late).withColumn("template", mask("message"))
+    rows = _watermarked(events, late).withColumn("template", mask("message"))
     span = F.window("ts", width, slide) if slide else F.window("ts", width)
     out = rows.groupBy("case_id", span.alias("w"), "template").agg(F.count(F.lit(1)).alias("count"), F.max(severity_rank()).alias("rank"))
     return out.select("case_id", "w.start", "w.end", short_hash("template").alias("template_id"), "template", "count", "rank")
 
 
-def bursts(events: DataFrame, gap: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+def bursts(events: DataFrame, gap: str = "10 minutes", late: str | None = "1 hour") -> DataFrame:
     """Sessions of each case's errors: runs of them with no longer gap than `gap`."""
-    rows = events.withWatermark("ts", late).where(severity_rank() >= 4)
+    rows = _watermarked(events, late).where(severity_rank() >= 4)
     out = rows.groupBy("case_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("count"))
     return out.select("case_id", "w.start", "w.end", "count")
 
