@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import cut, doc_key, slices
+from ._runtime import cut, doc_key, slices, small_batches
 from ._sketch import longs_in, member_bits
 
 
@@ -24,6 +24,7 @@ class Apart:
     """
 
     def __init__(self, documents: DataFrame, id_col: str, text_col: str):
+        small_batches(documents.sparkSession)
         text = F.col(text_col).cast("string")
         rows = documents.select(doc_key(id_col).alias("doc"), F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("t"), F.hash(text, F.octet_length(text)).alias("m"))
         self.rows = rows.withColumn("name", F.xxhash64("doc", "t", "m"))

@@ -20,6 +20,18 @@ def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+#: Bytes of an Arrow batch at most: a worker holds several copies of one.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by their bytes, as ten thousand long texts in one batch would fill a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "").lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names; make one of our own only in local mode, where none is named."""
     context = spark.sparkContext
@@ -49,6 +61,7 @@ def cut(df: DataFrame, in_loop: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    small_batches(spark)
     out = df.checkpoint(eager=True)
     if in_loop:
         jdf = out._jdf
