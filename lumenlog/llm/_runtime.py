@@ -27,7 +27,7 @@ BATCH_BYTES = 4 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by their bytes, as ten thousand long texts in one batch would fill a worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "").lower().rstrip("b")
+    now = spark.conf.get(key).lower().rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
