@@ -112,8 +112,8 @@ class Store:
 
     def _write(self, name: str, rows: DataFrame) -> str:
         part = uuid.uuid4().hex
-        columns = [c.strip().split(" ")[0] for c in TABLES[name].replace("map<string,string>", "map").split(", ")]
-        rows.select(*columns).write.parquet(f"{self.folder}/{name}/{part}")
+        fields = self.spark.createDataFrame([], TABLES[name]).schema.fields
+        rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields)).write.parquet(f"{self.folder}/{name}/{part}")
         return part
 
     def append(self, name: str, rows: DataFrame) -> None:
