@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Vectors of a case that are clustered together at most.
+#: Vectors of a case in a block; one task compares two blocks, some rows at a time.
+BLOCK, TILE = 8192, 512
+#: Vectors of a case that average linkage takes at most.
 MOST = 20_000
+#: What a matrix product of unit vectors may be off by, with room to spare.
+_SLACK = 1e-12
 
 
 def l2_normalise(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -31,21 +36,129 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_i
     return vectors.withColumn("distance", F.sqrt(squares)).orderBy("distance", id_col).limit(k)
 
 
+def _distances(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows i of x and j of y, always summed in the same way."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), 1 << 15):
+        part = slice(at, at + (1 << 15))
+        out[part] = np.sqrt(((x[i[part]] - y[j[part]]) ** 2).sum(axis=1))
+    return out
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component."""
+    up = np.arange(n)
+    while len(a):
+        low, high = np.minimum(up[a], up[b]), np.maximum(up[a], up[b])
+        open_ = low != high
+        if not open_.any():
+            break
+        np.minimum.at(up, high[open_], low[open_])
+        while (up[up] != up).any():
+            up = up[up]
+        a, b = a[open_], b[open_]
+    return up
+
+
+def _lightest(part: np.ndarray, other: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of edges between components: the numbers of those that are some component's edge of least rank."""
+    both, again = np.concatenate([part, other]), np.tile(np.arange(len(part)), 2)
+    order = np.lexsort((rank[again], both))
+    first = np.concatenate([[True], both[order][1:] != both[order][:-1]])
+    return np.unique(again[order[first]])
+
+
+def spanning(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers of the edges (a < b) of a minimum spanning forest; edges are ordered by (d, a, b), so it is unique."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends[: len(a)], ends[len(a) :]
+    rank = np.empty(len(d), dtype=np.int64)
+    rank[np.lexsort((b, a, d))] = np.arange(len(d))
+    taken, left, part = [np.empty(0, dtype=np.int64)], np.arange(len(d)), np.arange(len(names))
+    while len(left := left[part[i[left]] != part[j[left]]]):
+        some = left[_lightest(part[i[left]], part[j[left]], rank[left])]
+        taken.append(some)
+        part = _roots(len(names), part[i[some]], part[j[some]])[part]
+    return np.sort(np.concatenate(taken))
+
+
+def _first_copies(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of the first copy of each row, and the rows that are first copies."""
+    rows = np.ascontiguousarray(x + 0.0)
+    _, first, which = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    copy_of = first[which.ravel()]
+    return copy_of, np.flatnonzero(copy_of == np.arange(len(x)))
+
+
+def _nearest_others(x: np.ndarray, y: np.ndarray, part_x: np.ndarray, part_y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(d, i, j): pairs of rows of two components, among them each row's nearest with all ties, on either side.
+
+    A matrix product finds what may be nearest; of those the distances are taken row by row.
+    """
+    half_x, half_y = (x * x).sum(axis=1) / 2, (y * y).sum(axis=1) / 2
+    slack = _SLACK * max(half_x.max(), half_y.max(), 1e-300)
+    best, out = np.full(len(y), np.inf), []
+    for at in range(0, len(x), TILE):
+        rows = slice(at, at + TILE)
+        h = half_y - x[rows] @ y.T
+        h += half_x[rows, None]
+        h[part_x[rows, None] == part_y] = np.inf
+        best = np.minimum(best, h.min(axis=0))
+        i, j = np.nonzero(((h <= h.min(axis=1)[:, None] + slack) | (h <= best + slack)) & (h < np.inf))
+        i += at
+        d = _distances(x, y, i, j)
+        # Copies of a nearest row may be many: each row keeps its first ones in the order of distances and rows.
+        order = np.lexsort((j, i, d))
+        keep = order[np.unique(np.concatenate([np.unique(side[order], return_index=True)[1] for side in (i, j)]))]
+        out.append((d[keep], i[keep], j[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def forest(x: np.ndarray, y: np.ndarray | None = None, at_x: np.ndarray | None = None, at_y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (d, a, b), a < b, of the minimum spanning tree of x, or of the pairs of a row of x and one of y.
+
+    at_x, at_y: the rows' names, ascending and those of x before those of y. Of equal rows of a side only the first takes part; in the tree of x its copies hang on it.
+    """
+    at_x = np.arange(len(x)) if at_x is None else at_x
+    copy_of, first = _first_copies(x)
+    alone = y is None
+    later = np.flatnonzero(copy_of != np.arange(len(x))) if alone else first[:0]
+    edges = [(np.zeros(len(later)), at_x[copy_of[later]], at_x[later])]
+    x, at_x = x[first], at_x[first]
+    if alone:
+        y, at_y, base = x, at_x, 0
+    else:
+        first = _first_copies(y)[1]
+        y, at_y, base = y[first], at_y[first], len(x)
+    part = np.arange(base + len(y))
+    while len(np.unique(part)) > 1:
+        d, i, j = _nearest_others(x, y, part[: len(x)], part[base:])
+        a, b = np.minimum(at_x[i], at_y[j]), np.maximum(at_x[i], at_y[j])
+        rank = np.empty(len(d), dtype=np.int64)
+        rank[np.lexsort((b, a, d))] = np.arange(len(d))
+        some = _lightest(part[i], part[base + j], rank)
+        edges.append((d[some], a[some], b[some]))
+        part = _roots(len(part), part[i[some]], part[base + j[some]])[part]
+    d, a, b = (np.concatenate(e) for e in zip(*edges, strict=True))
+    # In a tree of x a pair may have been seen from both of its rows.
+    _, once = np.unique(np.stack([a, b]), axis=1, return_index=True)
+    return d[once], a[once], b[once]
+
+
 def hdbscan(x: np.ndarray, min_cluster_size: int = 2) -> np.ndarray:
     """Density clusters with core distance zero: minimum spanning tree, condensed tree, excess of mass; -1 is noise."""
     n = len(x)
     if n < min_cluster_size:
         return np.full(n, -1)
-    best, parent, inside, edges = np.full(n, np.inf), np.zeros(n, dtype=int), np.zeros(n, dtype=bool), []
-    at = 0
-    for _ in range(n - 1):
-        inside[at] = True
-        d = np.sqrt(((x - x[at]) ** 2).sum(axis=1))
-        closer = ~inside & (d < best)
-        best[closer], parent[closer] = d[closer], at
-        nxt = int(np.where(inside, np.inf, best).argmin())
-        edges.append((best[nxt], parent[nxt], nxt))
-        at = nxt
+    return condensed(n, *forest(x), min_cluster_size)
+
+
+def condensed(n: int, d: np.ndarray, a: np.ndarray, b: np.ndarray, min_cluster_size: int = 2) -> np.ndarray:
+    """The density clusters of n points with these edges of their minimum spanning tree."""
+    if n < min_cluster_size:
+        return np.full(n, -1)
+    order = np.lexsort((b, a, d))
+    edges = zip(d[order].tolist(), a[order].tolist(), b[order].tolist(), strict=True)
     up, size, kids, height = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}, {}
 
     def find(a: int) -> int:
@@ -54,7 +167,7 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 2) -> np.ndarray:
             a = up[a]
         return a
 
-    for m, (d, a, b) in enumerate(sorted(edges)):
+    for m, (d, a, b) in enumerate(edges):
         a, b, node = find(a), find(b), n + m
         kids[node], height[node], size[node] = (a, b), d, size[a] + size[b]
         up[a] = up[b] = node
@@ -144,23 +257,75 @@ def agglomerative(x: np.ndarray, threshold: float = 0.3) -> np.ndarray:
     return label
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _tree(rows: DataFrame, by: str) -> DataFrame:
+    """(case, d, a, b): the minimum spanning tree of each case's unit vectors. rows: (case, pos, n, vector), pos from 0 to n - 1.
+
+    A task compares two blocks of a case and keeps their pairs' spanning forest; the tree of all lies in the union of the forests.
+    """
+    blocks = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int"))
+    own = F.floor(F.col("pos") / BLOCK).cast("int")
+    sent = rows.select(by, "pos", "vector", own.alias("own"), F.explode(blocks).alias("other")).select(by, "pos", "vector", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def edges(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pos")
+        x, pos, low = _unit(np.array(frame["vector"].tolist(), dtype=np.float64)), frame["pos"].to_numpy(), (frame["own"] == frame["i"]).to_numpy()
+        d, a, b = forest(x, None, pos) if low.all() else forest(x[low], x[~low], pos[low], pos[~low])
+        return pd.DataFrame({by: frame[by].iloc[0], "i": frame["i"].iloc[0] // 8, "j": frame["j"].iloc[0] // 8, "d": d, "a": a, "b": b})
+
+    def lightest(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.iloc[spanning(*(frame[c].to_numpy() for c in "dab"))]
+
+    kind = f"{by} string, i int, j int, d double, a int, b int"
+    found = sent.groupBy(by, "i", "j").applyInPandas(edges, kind)
+    # Forests of neighbouring blocks first, so that no task gets those of all.
+    return found.groupBy(by, "i", "j").applyInPandas(lightest, kind).groupBy(by).applyInPandas(lightest, kind).select(by, "d", "a", "b")
+
+
 def cluster(vectors: DataFrame, method: str = "hdbscan", id_col: str = "vec_id", column: str = "embedding", by: str = "case_id") -> DataFrame:
     """(case, id, cluster_id) of a case's vectors; noise is a cluster of its own, and ids follow first appearance.
 
-    One task holds one case: its rows are the case's distinct templates, not its events. Both methods compare all of a case's vectors, so a case with
-    more than MOST of them is an error rather than a task that cannot end; average linkage holds a matrix of them, 3 GB at that size.
+    The vectors of a case (its distinct templates, not its events) are compared block by block, in many tasks, whatever their number. What one task
+    holds of a case grows with its number of vectors, not with its square: a few numbers for each. Average linkage
+    still takes a case in one task.
     """
+    order = Window.partitionBy(by)
+    rows = vectors.select(F.col(by).cast("string").alias(by), F.col(id_col).cast("long").alias(id_col), F.col(column).alias("vector"))
+    rows = rows.withColumn("pos", F.row_number().over(order.orderBy(id_col, "vector")) - 1).withColumn("n", F.count(F.lit(1)).over(order))
+    edges = _tree(rows, by).withColumn("id", F.lit(None).cast("long"))
+    nodes = rows.select(by, F.lit(None).cast("double").alias("d"), F.col("pos").alias("a"), F.lit(-1).alias("b"), F.col(id_col).alias("id"))
+
+    def run(named: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def each(frame: pd.DataFrame) -> pd.DataFrame:
+            node = (frame["b"] < 0).to_numpy()
+            points, tree = frame[node].sort_values("a"), frame[~node]
+            labels = named(len(points), *(tree[c].to_numpy() for c in "dab"))
+            return pd.DataFrame({by: points[by].to_numpy(), id_col: points["id"].to_numpy(), "pos": points["a"].to_numpy(), "cluster_id": labels})
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return each
+
+    kind = f"{by} string, {id_col} long, pos int, cluster_id long"
+    whole = nodes.unionByName(edges).groupBy(by)
+    if method == "hdbscan":
+        return whole.applyInPandas(run(lambda *tree: _by_appearance(condensed(*tree))), kind).drop("pos")
+
+    def linked(frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) > MOST:
             raise ValueError(f"{len(frame)} vectors in a case; {MOST} is the most that can be clustered together")
-        frame = frame.sort_values(id_col)
-        x = np.array(frame[column].tolist(), dtype=np.float64)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        labels = hdbscan(x) if method == "hdbscan" else agglomerative(x)
-        names: dict = {}
-        ids = [names.setdefault(("noise", n) if label < 0 else int(label), len(names)) for n, label in enumerate(labels.tolist())]
-        return pd.DataFrame({by: frame[by].to_numpy(), id_col: frame[id_col].to_numpy(), "cluster_id": ids})
-
-    return vectors.select(by, id_col, column).groupBy(by).applyInPandas(run, f"{by} string, {id_col} long, cluster_id long")
+        frame = frame.sort_values("pos")
+        return frame[[by, id_col, "pos"]].assign(cluster_id=_by_appearance(agglomerative(_unit(np.array(frame["vector"].tolist(), dtype=np.float64)))))
+
+    return rows.groupBy(by).applyInPandas(linked, kind).drop("pos")
+
+
+def _by_appearance(labels: np.ndarray) -> np.ndarray:
+    """Cluster ids in the order of first appearance; each -1 is a cluster of its own."""
+    names = np.where(labels < 0, -1 - np.arange(len(labels)), labels)
+    _, first, which = np.unique(names, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), dtype=np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
+    return rank[which]

@@ -66,6 +66,38 @@ def test_deep_trees_need_no_recursion():
     assert len(vectors.hdbscan(nested)) == len(nested)
 
 
+def brute_tree(x):
+    edges = sorted((float(np.sqrt(((x[a] - x[b]) ** 2).sum())), a, b) for a in range(len(x)) for b in range(a + 1, len(x)))
+    group, out = list(range(len(x))), []
+    for d, a, b in edges:
+        if group[a] != group[b]:
+            group, out = [group[a] if g == group[b] else g for g in group], [*out, (d, a, b)]
+    return out
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_forests_of_blocks_hold_the_tree_of_all(grid):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (90, 3)).astype(float) if grid else rng.normal(size=(90, 4))
+    want, low, high = brute_tree(x), np.arange(40), np.arange(40, 90)
+    assert sorted(zip(*(e.tolist() for e in vectors.forest(x)), strict=True)) == want
+    parts = [vectors.forest(x[low]), vectors.forest(x[high], None, high), vectors.forest(x[low], x[high], low, high)]
+    d, a, b = (np.concatenate(e) for e in zip(*parts, strict=True))
+    tree = vectors.spanning(d, a, b)
+    assert sorted(d[tree].tolist()) == [e[0] for e in want]
+    assert partition(vectors.condensed(90, d[tree], a[tree], b[tree])) == partition(vectors.hdbscan(x))
+
+
+def many(spark):
+    """20,100 vectors of one case, copies of 300."""
+    entry = lambda i: F.pmod(F.xxhash64(F.col("vec_id") % 300, i), F.lit(1000)) / 1000.0 - 0.5
+    return spark.range(20_100).select(F.lit("c").alias("case_id"), F.col("id").alias("vec_id")).withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(63)), entry))
+
+
+def test_a_case_may_have_any_number_of_vectors(spark):
+    assert vectors.cluster(many(spark), "hdbscan").where("cluster_id = vec_id % 300").count() == 20_100
+
+
 def test_cluster_ids_follow_first_appearance(spark):
     rows = [("c", n, [1.0, 0.0] if n % 2 else [0.0, 1.0]) for n in range(6)] + [("d", 9, [1.0, 0.0])]
     got = {(r.case_id, r.vec_id): r.cluster_id for r in vectors.cluster(spark.createDataFrame(rows, "case_id string, vec_id long, embedding array<double>"), "agglomerative").collect()}
