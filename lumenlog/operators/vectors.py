@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a case in a block; one task compares two blocks, some rows at a time.
 BLOCK, TILE = 8192, 512
-#: Vectors of a case that average linkage takes at most.
-MOST = 20_000
+#: Cosine distance at which average linkage is cut.
+THRESHOLD = 0.3
 #: What a matrix product of unit vectors may be off by, with room to spare.
 _SLACK = 1e-12
 
@@ -222,39 +222,39 @@ def condensed(n: int, d: np.ndarray, a: np.ndarray, b: np.ndarray, min_cluster_s
     return labels
 
 
-def agglomerative(x: np.ndarray, threshold: float = 0.3) -> np.ndarray:
-    """Average linkage on cosine distance, cut at a threshold, by chains of nearest neighbours: quadratic in time and memory."""
+def agglomerative(x: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Average linkage on cosine distance, cut at a threshold, by chains of nearest neighbours: quadratic in time, linear in memory.
+
+    The mean cosine of two groups is the product of their sums of unit vectors over that of their sizes. Labels are first members.
+    """
     n = len(x)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-    d = 1 - unit @ unit.T
-    np.fill_diagonal(d, np.inf)
-    size, alive, merges = np.ones(n), np.ones(n, dtype=bool), []
+    sums, size, name, merges = _unit(x), np.ones(n), np.arange(n), []
+    live, count = np.ones(n, dtype=bool), n
     chain: list[int] = []
-    while alive.sum() > 1:
+    while count > 1:
+        if count < len(sums) // 2:
+            kept = np.flatnonzero(live)
+            place = np.cumsum(live) - 1
+            sums, size, name, live, chain = sums[kept], size[kept], name[kept], live[kept], place[chain].tolist()
         if not chain:
-            chain.append(int(alive.argmax()))
+            chain.append(int(live.argmax()))
         while True:
             top = chain[-1]
-            row = np.where(alive, d[top], np.inf)
+            row = np.where(live, 1 - (sums @ sums[top]) / (size * size[top]), np.inf)
+            row[top] = np.inf
             near = int(row.argmin())
-            # A tie with the one before ends the chain, so that it cannot run in a circle.
-            if len(chain) > 1 and row[chain[-2]] <= row[near]:
+            # A tie with the one before ends the chain, so that it cannot run in a circle; rounding of the product must not tell ties apart.
+            if len(chain) > 1 and row[chain[-2]] <= row[near] + _SLACK:
                 break
             chain.append(near)
         b, a = chain.pop(), chain.pop()
+        merges.append((row[a], *sorted((int(name[a]), int(name[b])))))
         a, b = min(a, b), max(a, b)
-        merges.append((d[a, b], a, b))
-        joined = (d[a] * size[a] + d[b] * size[b]) / (size[a] + size[b])
-        joined[[a, b]] = np.inf
-        d[a, :], d[:, a] = joined, joined
+        sums[a] += sums[b]
         size[a] += size[b]
-        alive[b] = False
-    label = np.arange(n)
-    for distance, a, b in merges:  # a merge stands for its smallest member; average linkage has no inversions
-        if distance <= threshold:
-            label[label == label[b]] = label[a]
-    return label
+        live[b] = False
+        count -= 1
+    return _roots(n, *(np.array([m[k] for m in merges if m[0] <= threshold], dtype=np.int64) for k in (1, 2)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -290,8 +290,8 @@ def cluster(vectors: DataFrame, method: str = "hdbscan", id_col: str = "vec_id",
     """(case, id, cluster_id) of a case's vectors; noise is a cluster of its own, and ids follow first appearance.
 
     The vectors of a case (its distinct templates, not its events) are compared block by block, in many tasks, whatever their number. What one task
-    holds of a case grows with its number of vectors, not with its square: a few numbers for each. Average linkage
-    still takes a case in one task.
+    holds of a case grows with its number of vectors, not with its square: a few numbers for each, and for average linkage the
+    vectors of a component, within which all of its clusters lie.
     """
     order = Window.partitionBy(by)
     rows = vectors.select(F.col(by).cast("string").alias(by), F.col(id_col).cast("long").alias(id_col), F.col(column).alias("vector"))
@@ -312,14 +312,19 @@ def cluster(vectors: DataFrame, method: str = "hdbscan", id_col: str = "vec_id",
     whole = nodes.unionByName(edges).groupBy(by)
     if method == "hdbscan":
         return whole.applyInPandas(run(lambda *tree: _by_appearance(condensed(*tree))), kind).drop("pos")
+    # Two groups whose mean distance is within the threshold have a pair within it, so no group reaches over two components of such pairs.
+    # For unit vectors the cosine distance is half the square of the Euclidean one; a little slack joins components, which costs no result.
+    found = whole.applyInPandas(run(lambda n, d, a, b: _roots(n, a[d * d / 2 <= THRESHOLD + 1e-9], b[d * d / 2 <= THRESHOLD + 1e-9])), kind)
+    found = found.withColumnRenamed("cluster_id", "part").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(by, "part")))
+    several = found.where("size > 1").alias("f").join(rows.alias("r"), F.expr(f"f.`{by}` <=> r.`{by}` AND f.pos = r.pos")).select("f.*", "r.vector")
 
     def linked(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > MOST:
-            raise ValueError(f"{len(frame)} vectors in a case; {MOST} is the most that can be clustered together")
         frame = frame.sort_values("pos")
-        return frame[[by, id_col, "pos"]].assign(cluster_id=_by_appearance(agglomerative(_unit(np.array(frame["vector"].tolist(), dtype=np.float64)))))
+        pos = frame["pos"].to_numpy()
+        return frame[[by, id_col, "pos"]].assign(cluster_id=pos[agglomerative(np.array(frame["vector"].tolist(), dtype=np.float64))])
 
-    return rows.groupBy(by).applyInPandas(linked, kind).drop("pos")
+    first = several.groupBy(by, "part").applyInPandas(linked, kind).unionByName(found.where("size = 1").select(by, id_col, "pos", F.col("part").alias("cluster_id")))
+    return first.select(by, id_col, (F.dense_rank().over(order.orderBy("cluster_id")) - 1).cast("long").alias("cluster_id"))
 
 
 def _by_appearance(labels: np.ndarray) -> np.ndarray:

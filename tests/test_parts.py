@@ -95,7 +95,16 @@ def many(spark):
 
 
 def test_a_case_may_have_any_number_of_vectors(spark):
-    assert vectors.cluster(many(spark), "hdbscan").where("cluster_id = vec_id % 300").count() == 20_100
+    for method in ("hdbscan", "agglomerative"):
+        assert vectors.cluster(many(spark), method).where("cluster_id = vec_id % 300").count() == 20_100
+
+
+def test_average_linkage_by_components_equals_that_of_all(spark):
+    x = np.random.default_rng(6).normal(size=(150, 3))
+    rows = [("c", n, v.tolist()) for n, v in enumerate(x)] + [("c", 150 + n, [0.0] * 3) for n in range(2)]
+    got = vectors.cluster(spark.createDataFrame(rows, "case_id string, vec_id long, embedding array<double>"), "agglomerative").orderBy("vec_id").collect()
+    assert partition([r.cluster_id for r in got[:150]]) == brute_agglomerative(x, 0.3)
+    assert len({r.cluster_id for r in got}) == len({r.cluster_id for r in got[:150]}) + 2
 
 
 def test_cluster_ids_follow_first_appearance(spark):
