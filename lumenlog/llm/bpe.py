@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import slices
+from ._runtime import KEPT, slices
 
 #: Fixed value: how byte-level vocabularies split text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -252,16 +252,15 @@ class Automaton:
 
 _CUT = re.compile(r" (?=\S)")
 _SPACES = re.compile(r" (?:\s|$)")
-_HELD: dict[int, Automaton] = {}
 
 
 def _automaton(broadcast) -> Automaton:
     """One automaton for each Python worker and vocabulary."""
     key = broadcast._jbroadcast.id() if getattr(broadcast, "_jbroadcast", None) is not None else id(broadcast)
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Automaton(broadcast.value)
-    return _HELD[key]
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = Automaton(broadcast.value)
+    return KEPT[key]
 
 
 def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -276,7 +275,7 @@ def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(vocabulary)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keeps=True):
             ids = [automaton.encode(t or "") for t in batch.column("text").to_pylist()]
             decoded = [automaton.decode(x) for x in ids]
             columns = [

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._kernels import U, mix, rolling, word_hashes
-from ._runtime import cut, doc_key, fitted, slices
+from ._runtime import cut, doc_key, fitted, lean_heap, slices
 from ._sketch import member_test
 
 SHINGLE, SKETCHES, TUPLE = 5, 16, 3
@@ -131,13 +131,14 @@ def _unpacked(words: bytes) -> np.ndarray:
 def _verifier(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[bytes, np.ndarray] = (b"", np.empty(0, dtype=U))
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column("words").to_pylist(), batch.column("center_words").to_pylist(), strict=True):
-                if held[0] != b:
-                    held = (b, _unpacked(b))
-                ok.append(aligned(_unpacked(a), held[1], threshold) >= threshold - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("center"), pa.array(ok)], names=["doc", "center", "ok"])
+        with lean_heap():
+            for batch in batches:
+                ok = []
+                for a, b in zip(batch.column("words").to_pylist(), batch.column("center_words").to_pylist(), strict=True):
+                    if held[0] != b:
+                        held = (b, _unpacked(b))
+                    ok.append(aligned(_unpacked(a), held[1], threshold) >= threshold - 1e-9)
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("center"), pa.array(ok)], names=["doc", "center", "ok"])
 
     return run
 
@@ -199,10 +200,11 @@ def _prefixes(words: DataFrame, threshold: float) -> DataFrame:
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, packed in zip(batch.column("doc").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                own = _unpacked(packed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc)), pa.array(np.full(len(own), len(own), dtype=np.int32)), pa.array(own)], names=["doc", "size", "shingle"])
+        with lean_heap():
+            for batch in batches:
+                for doc, packed in zip(batch.column("doc").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                    own = _unpacked(packed).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc)), pa.array(np.full(len(own), len(own), dtype=np.int32)), pa.array(own)], names=["doc", "size", "shingle"])
 
     rows = words.mapInArrow(split, "doc long, size int, shingle long")
     common = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
