@@ -20,3 +20,26 @@ def test_another_operators_task_drops_the_automaton(spark):
             yield pa.RecordBatch.from_arrays([pa.array([automata], pa.int64())], names=["automata"])
 
     assert {r.automata for r in documents.mapInArrow(held, "automata long").collect()} == {0}
+
+
+FAULTS = """
+import random, resource
+import pyarrow as pa
+from lumenlog.llm._kernels import anchors, byte_blocks
+from lumenlog.llm._runtime import slices
+
+rng = random.Random(1)
+words = ["".join(rng.choices("etaoin shrdlu", k=7)) for _ in range(5000)]
+texts = [" ".join(rng.choices(words, k=rng.randint(50, 400))) for _ in range(3000)]
+batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+for piece in slices(iter([batch]), "text"):
+    for block, _ in byte_blocks(piece.column("text"), 100):
+        anchors(block, 34, 50)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+
+
+def test_a_task_uses_its_memory_again():
+    done = subprocess.run([sys.executable, "-c", FAULTS], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 30_000  # pages for about 5 MB of text, block by block
