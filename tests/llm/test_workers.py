@@ -4,10 +4,12 @@ import gc
 import subprocess
 import sys
 
+import numpy as np
 import pyarrow as pa
 
 from lumenlog.llm import bpe, queries
 from lumenlog.llm._runtime import slices
+from lumenlog.llm.substring_dedup import _distinct
 
 
 def test_another_operators_task_drops_the_automaton(spark):
@@ -43,3 +45,10 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
 def test_a_task_uses_its_memory_again():
     done = subprocess.run([sys.executable, "-c", FAULTS], capture_output=True, text=True, check=True)
     assert int(done.stdout) < 30_000  # pages for about 5 MB of text, block by block
+
+
+def test_keys_stand_once_for_each_row():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 9), (1, 9), (2, 1), (500, 50), (5000, 2**62)):
+        rows, keys = rng.integers(0, 20, n), rng.integers(0, top, n).astype(np.uint64)
+        assert sorted(_distinct(rows, keys).tolist()) == sorted(k for _, k in set(zip(rows.tolist(), keys.tolist(), strict=True)))
