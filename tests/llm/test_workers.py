@@ -7,7 +7,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 
-from lumenlog.llm import bpe, queries
+from lumenlog.llm import bpe, queries, suffix_dedup
 from lumenlog.llm._runtime import slices
 from lumenlog.llm.substring_dedup import _distinct
 
@@ -52,3 +52,28 @@ def test_keys_stand_once_for_each_row():
     for n, top in ((0, 9), (1, 9), (2, 1), (500, 50), (5000, 2**62)):
         rows, keys = rng.integers(0, 20, n), rng.integers(0, top, n).astype(np.uint64)
         assert sorted(_distinct(rows, keys).tolist()) == sorted(k for _, k in set(zip(rows.tolist(), keys.tolist(), strict=True)))
+
+
+def test_suffix_dedup_keeps_what_a_scan_found(spark):
+    """Each hashing of the texts reads them once more; every use of the positions and strings used to hash them again."""
+    passage = "a passage of more than fifty bytes that several of these documents hold, "
+    rows = [(n, f"{n} begins. " * 9 + (passage if n % 3 else "") + f"ends {n * 7919}. " * 9) for n in range(40)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    documents = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.digest(suffix_dedup.remove_repeated_bytes(documents)).collect()}
+    assert got == suffix_dedup.brute_force(rows)
+    assert read.value <= 10 * len(rows)
+
+
+def test_packed_values_come_back_with_their_texts():
+    doc, own = np.array([7, 8, 9]), np.array([70, 80, 90])
+    batch = suffix_dedup._packed(np.array([0, 0, 2, 2, 2]), doc, own, h=np.arange(5, dtype=np.uint64) << np.uint64(60), at=np.arange(5, dtype=np.int32))
+    for part, at in ((batch, [0, 1, 2, 3, 4]), (batch.slice(1), [2, 3, 4]), (batch.slice(0, 0), [])):
+        got = suffix_dedup._unpacked(part, h="u8", at="i4")
+        assert [x.tolist() for x in got] == [[7 if n < 2 else 9 for n in at], [70 if n < 2 else 90 for n in at], [n << 60 & 2**64 - 1 for n in at], at]
