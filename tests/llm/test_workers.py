@@ -1,14 +1,19 @@
 """What the corpus operators leave in Python workers, and how they use a worker's memory."""
 
 import gc
+import random
 import subprocess
 import sys
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
-from lumenlog.llm import bpe, queries, suffix_dedup
-from lumenlog.llm._runtime import slices
+from pyspark.sql import functions as F
+
+from lumenlog.llm import _sketch, bpe, queries, suffix_dedup
+from lumenlog.llm._runtime import MAPPED, lean_heap, release, slices
 from lumenlog.llm.substring_dedup import _distinct
 
 
@@ -77,3 +82,63 @@ def test_packed_values_come_back_with_their_texts():
     for part, at in ((batch, [0, 1, 2, 3, 4]), (batch.slice(1), [2, 3, 4]), (batch.slice(0, 0), [])):
         got = suffix_dedup._unpacked(part, h="u8", at="i4")
         assert [x.tolist() for x in got] == [[7 if n < 2 else 9 for n in at], [70 if n < 2 else 90 for n in at], [n << 60 & 2**64 - 1 for n in at], at]
+
+
+def _passages():
+    rng = random.Random(5)
+    shared = ["".join(rng.choices("abcdefgh ", k=rng.randint(40, 160))) for _ in range(12)]
+    return [(n, "".join("".join(rng.choices("ijklmnop ", k=rng.randint(0, 40))) + rng.choice(shared)[rng.randint(0, 9) :] for _ in range(5))) for n in range(60)]
+
+
+def test_suffix_dedup_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 5000)
+    rows = _passages()
+    seen = set()
+    in_slice = suffix_dedup._in_slice
+    names = np.arange(1000, dtype=np.int64)
+    assert sum(in_slice(names, n, 4).astype(int) for n in range(4)).tolist() == [1] * 1000
+    cut = suffix_dedup.cut
+    monkeypatch.setattr(suffix_dedup, "cut", lambda df, **k: (seen.add(tuple(df.columns)), cut(df, **k))[1])
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r[0]: tuple(r[1:]) for r in suffix_dedup.digest(suffix_dedup.remove_repeated_bytes(documents)).collect()} == suffix_dedup.brute_force(rows)
+    assert ("g", "c", "doc") in seen
+
+
+def test_a_sketch_goes_before_the_positions_are_shuffled(spark, monkeypatch):
+    """The bits of a sketch lie on the disks of the driver and of every executor."""
+    done = []
+
+    def repeated(*args, **kwargs):
+        sketch, destroy = _sketch.repeated(*args, **kwargs), type(sketch_of).destroy
+        monkeypatch.setattr(sketch, "destroy", lambda: (done.append("gone"), destroy(sketch)), raising=False)
+        done.append("made")
+        return sketch
+
+    sketch_of = spark.sparkContext.broadcast(b"")
+    cut = suffix_dedup.cut
+    monkeypatch.setattr(suffix_dedup, "repeated", repeated)
+    monkeypatch.setattr(suffix_dedup, "cut", lambda df, **k: (cut(df, **k), done.append("cut"))[0])
+    suffix_dedup.remove_repeated_bytes(spark.createDataFrame(_passages()[:9], "doc_id long, text string"))
+    first = done.index("made")
+    assert done[first : first + 3] == ["made", "cut", "gone"]
+
+
+def test_a_sketchs_shuffles_go_with_it(spark):
+    folders = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {f.name for folder in folders for f in Path(folder).rglob("shuffle_*")}
+
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("k"))
+    release(spark), time.sleep(1), release(spark), time.sleep(1)
+    before = shuffles()
+    _sketch.repeated(keys, _sketch._longs, 1 << 20).destroy()
+    time.sleep(2)
+    assert not shuffles() - before
+
+
+def test_a_worker_unmaps_files_at_the_end_of_a_task(tmp_path):
+    (tmp_path / "bits").write_bytes(b"\1" * 4096)
+    with lean_heap():
+        MAPPED["bits"] = np.memmap(tmp_path / "bits", dtype=np.uint8, mode="r")
+    assert str(tmp_path / "bits") not in Path("/proc/self/maps").read_text()
