@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenlog.llm import bpe, exact_dedup, mixing, order_minhash, quality
-from lumenlog.llm._runtime import ensure_checkpoint_dir
+from lumenlog.llm._runtime import ensure_checkpoint_dir, lean_executors
 from lumenlog.llm.queries import tokenizer_path
 
 
@@ -24,16 +24,19 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    lean_executors(spark)
     return order_minhash.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample with target shares of sources, languages and topics."""
+    lean_executors(spark)
     return mixing.keep_sample(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the tokens and of the decoded text of each document."""
+    lean_executors(spark)
     return bpe.encode_decode(docs, tokenizer_path(), with_ids=False)
 
 

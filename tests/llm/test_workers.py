@@ -12,6 +12,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lumenlog.llm import _sketch, bpe, queries, suffix_dedup
 from lumenlog.llm._runtime import MAPPED, lean_heap, release, slices
 from lumenlog.llm.substring_dedup import _distinct
@@ -142,3 +143,14 @@ def test_a_worker_unmaps_files_at_the_end_of_a_task(tmp_path):
     with lean_heap():
         MAPPED["bits"] = np.memmap(tmp_path / "bits", dtype=np.uint8, mode="r")
     assert str(tmp_path / "bits") not in Path("/proc/self/maps").read_text()
+
+
+def test_stages_after_the_dedups_begin_with_a_small_heap(spark):
+    """A JVM gives heap back in a full collection only; in local mode the executor's is the driver's."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = next(b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    documents = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    before = old.getCollectionCount()
+    tokens = corpus_pipeline.tokens_stage(spark, documents, "")
+    assert old.getCollectionCount() > before
+    assert [(r.doc_id, r.n_tokens) for r in tokens.orderBy("doc_id").collect()] == [(1, 2), (2, 0)]
