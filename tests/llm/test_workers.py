@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenlog.llm import _sketch, bpe, queries, suffix_dedup
-from lumenlog.llm._runtime import MAPPED, lean_heap, release, slices
+from lumenlog.llm import _runtime, _sketch, bpe, queries, suffix_dedup
+from lumenlog.llm._runtime import MAPPED, lean_executors, lean_heap, release, slices
 from lumenlog.llm.substring_dedup import _distinct
 
 
@@ -154,3 +154,21 @@ def test_stages_after_the_dedups_begin_with_a_small_heap(spark):
     tokens = corpus_pipeline.tokens_stage(spark, documents, "")
     assert old.getCollectionCount() > before
     assert [(r.doc_id, r.n_tokens) for r in tokens.orderBy("doc_id").collect()] == [(1, 2), (2, 0)]
+
+
+def test_suffix_dedup_gives_heap_back_between_its_steps(spark, monkeypatch):
+    """In local mode the executor's JVM is the driver's, whose own collections are left out here."""
+    for module in (_runtime, _sketch):
+        monkeypatch.setattr(module, "release", lambda *args: None)
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = next(b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    rows = _passages()[:20]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    before = old.getCollectionCount()
+    result = suffix_dedup.digest(suffix_dedup.remove_repeated_bytes(documents))
+    steps = old.getCollectionCount() - before
+    assert steps >= 8
+    assert {r[0]: tuple(r[1:]) for r in result.collect()} == suffix_dedup.brute_force(rows)
+    before = old.getCollectionCount()
+    lean_executors(spark, once=True)
+    assert old.getCollectionCount() == before + 1
